@@ -4,7 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from plumbline.llm.docpairs import code_pairs, informative_ids
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.provenance import not_hand_written
 from plumbline.llm.spans import shared_portion, shared_spans
 from plumbline.llm.tokenizer import encode_corpus, token_sizes
 from plumbline.llm.topn import top_n_per_group
@@ -12,10 +14,26 @@ from plumbline.session import stage
 from plumbline.sources.tables import load
 
 
+def p1_found(spark, d):
+    return not_hand_written(load(spark, d, "files"), load(spark, d, "documents")).select("file_id")
+
+
+def p1_reasons(spark, d):
+    return not_hand_written(load(spark, d, "files"), load(spark, d, "documents"))
+
+
 def p2_found(spark, d):
     return top_n_per_group(load(spark, d, "symbols"), "file_id", "id", "rank", 3).withColumnRenamed("id", "symbol_id")
 
 
+def p4_found(spark, d):
+    return informative_ids(load(spark, d, "symbols"))
+
+
+def p4_pairs(spark, d):
+    return code_pairs(load(spark, d, "symbols"), load(spark, d, "documents"))
+
+
 def p6_ids(spark, d):
     return encode_corpus(load(spark, d, "documents"), ["doc_id"])
 
@@ -43,7 +61,11 @@ def p8_portion(spark, d):
 
 
 QUERIES = {
+    "p1_found": p1_found,
+    "p1_reasons": p1_reasons,
     "p2_found": p2_found,
+    "p4_found": p4_found,
+    "p4_pairs": p4_pairs,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
