@@ -8,6 +8,7 @@ from plumbline.llm.docpairs import code_pairs, informative_ids
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.provenance import not_hand_written
 from plumbline.llm.spans import shared_portion, shared_spans
+from plumbline.llm.syntax import invalid_files, invalid_rates
 from plumbline.llm.tokenizer import encode_corpus, token_sizes
 from plumbline.llm.topn import top_n_per_group
 from plumbline.session import stage
@@ -26,6 +27,14 @@ def p2_found(spark, d):
     return top_n_per_group(load(spark, d, "symbols"), "file_id", "id", "rank", 3).withColumnRenamed("id", "symbol_id")
 
 
+def p3_found(spark, d):
+    return invalid_files(load(spark, d, "documents"))
+
+
+def p3_rates(spark, d):
+    return invalid_rates(load(spark, d, "files"), load(spark, d, "documents"))
+
+
 def p4_found(spark, d):
     return informative_ids(load(spark, d, "symbols"))
 
@@ -64,6 +73,8 @@ QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
     "p2_found": p2_found,
+    "p3_found": p3_found,
+    "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
     "p6_ids": p6_ids,
