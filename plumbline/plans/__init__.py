@@ -1 +1 @@
-"""plans of the engine."""
+"""Pipelines made of operators."""
