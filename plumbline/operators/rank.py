@@ -10,13 +10,19 @@ from plumbline.session import stage
 FLOOR = 1.0e-6
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7, stage_every: int = 5) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7) -> DataFrame:
     """(id, score) of every node of ``nodes(id)``; ``edges`` has src, dst, weight.
 
     Loops and edges from or to other nodes don't count, parallel edges add up, weights have a floor (null
     weights too).  The mass of nodes without edges out is spread over all.  Stops when the sum of changes falls below
-    ``tolerance``; it is looked at whenever a round is staged, every ``stage_every`` rounds (each round if a tolerance is set).
+    ``tolerance``; 0 runs all rounds.
+
+    Links are kept partitioned by source and nodes by id, so a round shuffles one row per node and
+    partition, the partial sums.  Every round is staged: the scores are read twice in the next one, and a plan of
+    several rounds would double with each.
     """
+    spark = nodes.sparkSession
+    width = int(spark.conf.get("spark.sql.shuffle.partitions"))
     nodes = stage(nodes.select("id").where("id IS NOT NULL").distinct(), "rank-nodes")
     n = nodes.count()
     if n == 0:
@@ -29,21 +35,25 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     total = clean.groupBy("src").agg(F.sum("w").alias("t"))
     links = stage(clean.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-links")
     loose = stage(nodes.join(links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("loose")), "rank-loose")
+    # both are staged, so what an executor loses of the kept copies is read again
+    links, loose = links.repartition(width, "src").persist(), loose.repartition(width, "id").persist()
     score = loose.withColumn("score", F.lit(1.0 / n))
-    every = 1 if tolerance > 0 else stage_every
-    for k in range(1, iterations + 1):
+    for _ in range(iterations):
         lost = score.where("loose").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
         got = links.join(score.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        new = (
-            score.join(got, "id", "left").join(F.broadcast(lost))  # one row
-            .select("id", "loose", F.col("score").alias("old"), (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(n))).alias("score"))
+        new = stage(
+            loose.join(got, "id", "left").join(F.broadcast(lost))  # one row
+            .select("id", "loose", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(n))).alias("score")),
+            "rank-scores",
         )
-        if k % every == 0 or k == iterations:
-            new = stage(new, "rank-scores")
-            if tolerance > 0 and new.agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0] < tolerance:
-                score = new.drop("old")
-                break
-        score = new.drop("old")
+        moved = None
+        if tolerance > 0:
+            moved = new.join(score.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        score = new
+        if moved is not None and moved < tolerance:
+            break
+    links.unpersist()
+    loose.unpersist()
     return score.select("id", "score")
 
 

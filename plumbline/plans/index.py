@@ -80,7 +80,7 @@ def fact_tables(facts: DataFrame, files: DataFrame) -> dict[str, DataFrame]:
     return {"files": head.select("id", "path", "lang", "module", "sha256", "size", "lines", "is_test", "indexed_at"), "symbols": symbols, "refs": refs, "imports": imports}
 
 
-def derive(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
+def derive(tables: dict[str, DataFrame], rounds: int = 30) -> dict[str, DataFrame]:
     """The tables with import targets, edges and ranks, all derived anew from the facts."""
     asked = tables["imports"].drop("dst_file_id", "external")
     imports = stage(asked.join(resolve_imports(asked, tables["files"]), "id"), "imports").select("id", "file_id", "raw", "module", "symbol", "alias", "dst_file_id", "external", "line")
@@ -90,7 +90,7 @@ def derive(tables: dict[str, DataFrame]) -> dict[str, DataFrame]:
         "edges",
     )
     calls = edges.where(F.col("kind").isin(*CALL_KINDS) & F.col("dst_id").isNotNull()).select(F.col("src_id").alias("src"), F.col("dst_id").alias("dst"), F.col("confidence").alias("weight"))
-    scores = pagerank(calls, tables["symbols"].select("id"))
+    scores = pagerank(calls, tables["symbols"].select("id"), iterations=rounds)
     symbols = tables["symbols"].drop("rank").join(scores.withColumnRenamed("score", "rank"), "id", "left").fillna(0.0, ["rank"])
     return {**tables, "imports": imports, "edges": edges, "symbols": symbols}
 
@@ -136,12 +136,12 @@ class Snapshots:
         return target
 
 
-def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = False, complete: bool = True) -> dict:
+def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = False, complete: bool = True, rounds: int = 30) -> dict:
     """Bring the index in ``folder`` up to (path, lang, content or text) of ``sources``.
 
     Only files whose hash changed are extracted; edges and ranks are derived anew if any file was, since a new symbol can
-    change how any reference resolves, and left alone otherwise.  ``complete`` sources are the whole tree: files
-    that aren't in it are removed.  Returns counts by state, and failures as (path, error).
+    change how any reference resolves, and left alone otherwise.  Files that fail are reported and tried again by the next run.  ``complete`` sources are the whole tree: files
+    that aren't in it are removed.  ``rounds`` bounds the ranking.  Returns counts by state, and failures as (path, error).
     """
     shots = Snapshots(spark, folder)
     files = stage(file_facts(sources), "sources")
@@ -158,6 +158,10 @@ def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = Fa
     fresh = files.join(states.where("state IN ('added', 'changed')"), "path", "left_semi")
     facts = stage(extract_facts(fresh), "facts")
     failed = facts.where("error IS NOT NULL").select("path", "error")
+    failures = [tuple(r) for r in failed.limit(1000).collect()]
+    if old and not counts.get("changed") and not counts.get("removed") and facts.where("error IS NULL").isEmpty():
+        # only files that failed before and failed again
+        return {"version": shots.meta()["version"], "states": counts, "failures": failures}
     tables = fact_tables(facts.where("error IS NULL"), fresh.join(failed, "path", "left_anti"))
     if old:
         gone = old["files"].join(states.where("state <> 'unchanged'"), "path", "left_semi").select(F.col("id").alias("file_id"))
@@ -169,5 +173,5 @@ def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = Fa
             "imports": keep("imports", "file_id").unionByName(tables["imports"]),
         }
     tables = {n: stage(t, n) for n, t in tables.items()}
-    target = shots.commit(derive(tables), files=counts)
-    return {"version": int(target.rsplit("/v", 1)[1]), "states": counts, "failures": [tuple(r) for r in failed.limit(1000).collect()]}
+    target = shots.commit(derive(tables, rounds), files=counts)
+    return {"version": int(target.rsplit("/v", 1)[1]), "states": counts, "failures": failures}
