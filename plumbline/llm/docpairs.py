@@ -11,11 +11,12 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.extract import extractor_for
+
 _I = re.IGNORECASE
 #: Words that say nothing by themselves in documentation.
 FILLER = frozenset(
@@ -273,3 +274,39 @@ def code_pairs(symbols: DataFrame, documents: DataFrame) -> DataFrame:
         .where("code <> ''")
         .select("symbol_id", "file_id", "kind", "signature", "docstring", "code")
     )
+
+
+_LEXED = "name string, local string, kind string, start_line int, end_line int, signature string, docstring string, code string"
+
+
+def _lex_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = pa.list_(pa.struct([("name", pa.string()), ("local", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("docstring", pa.string()), ("code", pa.string())]))
+    for batch in batches:
+        lang, text = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("lang", "text"))
+        found = []
+        for x, t in zip(lang, text):
+            extractor, rows = extractor_for(x), []
+            if extractor is not None:
+                try:
+                    lines = t.replace("\r\n", "\n").split("\n")
+                    for d in extractor("", t).symbols:
+                        if d.kind in ("function", "method") and is_informative(d.docstring, d.name, d.signature):
+                            rows.append({"name": d.name, "local": d.local, "kind": d.kind, "start_line": d.start_line, "end_line": d.end_line, "signature": d.signature, "docstring": d.docstring, "code": "\n".join(lines[d.start_line - 1 : d.end_line])})
+                except (SyntaxError, ValueError, RecursionError):
+                    rows = []  # a Python text that doesn't parse has no functions to delimit
+            found.append(rows)
+        yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("file_id")), batch.column(batch.schema.get_field_index("lang")), pa.array(found, kinds)], ["file_id", "lang", "found"])
+
+
+def lexed_pairs(documents: DataFrame) -> DataFrame:
+    """(file_id, lang, name, local, kind, start_line, end_line, signature, docstring, code) of the functions in source texts
+    themselves, without a symbols table.
+
+    A string- and comment-aware lexer matches braces to delimit the functions of JavaScript, TypeScript and Go and attaches the
+    comment block directly above; Python has its own parser and docstrings.  Functions whose documentation is empty or
+    trivial are left out; null texts, null ids and other languages have none.  Texts don't travel.
+    """
+    texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("file_id", "lang", "text")
+    return texts.mapInArrow(_lex_functions, f"file_id bigint, lang string, found array<struct<{_LEXED.replace(' string', ':string').replace(' int', ':int')}>>").select(
+        "file_id", "lang", F.inline("found")
+    )

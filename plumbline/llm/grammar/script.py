@@ -230,7 +230,7 @@ def lex(text: str, lang: str) -> Group:
     return _Lexer(text, lang).run()
 
 
-_STATEMENTS = ("file", "block", "nsbody")
+_STATEMENTS = ("file", "block", "nsbody", "ambientbody")
 _AFTER = S.set("else while")
 
 
@@ -320,6 +320,10 @@ class _Script(Cursor):
     def k_nsbody(self):
         self.statements(True)
 
+    def k_ambientbody(self):
+        self.ambient = True
+        self.statements(True)
+
     def k_block(self):
         self.statements(False)
 
@@ -738,17 +742,18 @@ class _Script(Cursor):
             self.semicolon()
         elif c in (O["namespace"], O["module"]) and (nx in _NAMES or nx == "s"):
             self.i += 1
-            if not self.eat("s"):
+            named = not self.eat("s")
+            if named:
                 self.name()
                 while self.eat("."):
                     self.name()
             if self.after() == "B":
-                self.sub("B", "nsbody")
+                self.sub("B", "ambientbody" if self.ambient or not named else "nsbody")
             else:
                 self.semicolon()
         elif c == O["global"] and nx == "B":
             self.i += 1
-            self.sub("B", "nsbody")
+            self.sub("B", "ambientbody")
         elif c == O["abstract"] and nx == O["class"]:
             self.i += 1
             self.class_()

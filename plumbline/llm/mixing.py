@@ -125,7 +125,7 @@ def mix_sources(
     report = (
         rows.join(got, "source", "left")
         .withColumn("mixed_tokens", F.coalesce("mixed_tokens", F.lit(0)).cast("bigint"))
-        .withColumn("actual_share", F.coalesce(F.col("mixed_tokens") / F.sum("mixed_tokens").over(W.partitionBy(F.lit(1))), F.lit(0.0)))
+        .withColumn("actual_share", F.coalesce(F.try_divide(F.col("mixed_tokens").cast("double"), F.sum("mixed_tokens").over(W.partitionBy(F.lit(1)))), F.lit(0.0)))
         .withColumn("repeats", F.coalesce(F.try_divide("mixed_tokens", "available_tokens"), F.lit(0.0)))
     )
     return mix, report

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from plumbline.llm.docpairs import code_pairs, informative_ids
+from plumbline.llm.docpairs import code_pairs, informative_ids, lexed_pairs
 from plumbline.llm.mixing import mix_sources
 from plumbline.llm.provenance import not_hand_written
 from plumbline.llm.spans import shared_portion, shared_spans
@@ -43,6 +43,10 @@ def p4_pairs(spark, d):
     return code_pairs(load(spark, d, "symbols"), load(spark, d, "documents"))
 
 
+def p4_lexed(spark, d):
+    return lexed_pairs(load(spark, d, "documents"))
+
+
 def p6_ids(spark, d):
     return encode_corpus(load(spark, d, "documents"), ["doc_id"])
 
@@ -77,6 +81,7 @@ QUERIES = {
     "p3_rates": p3_rates,
     "p4_found": p4_found,
     "p4_pairs": p4_pairs,
+    "p4_lexed": p4_lexed,
     "p6_ids": p6_ids,
     "p7_mix": p7_mix,
     "p7_shares": p7_shares,
