@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import json
+import os
 import sys
 
 from plumbline import __version__, render
@@ -12,9 +13,22 @@ from plumbline.session import build_session
 LANGUAGES = ("python", "javascript", "typescript", "tsx", "go")
 
 
+def find_index(start: str) -> str:
+    """The nearest ``.plumbline`` folder at or above ``start``, else the one that would be made there."""
+    here = os.path.abspath(start)
+    while True:
+        found = os.path.join(here, ".plumbline")
+        if os.path.isdir(found):
+            return found
+        above = os.path.dirname(here)
+        if above == here:
+            return os.path.join(os.path.abspath(start), ".plumbline")
+        here = above
+
+
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="plumbline", description=__doc__)
-    p.add_argument("--index", default=".plumbline", help="folder of the index")
+    p.add_argument("--index", default=None, help="folder of the index; by default .plumbline here or in a folder above")
     p.add_argument("--master", default=None, help="Spark master; that of spark-submit by default")
     sub = p.add_subparsers(dest="command", required=True)
 
@@ -59,6 +73,7 @@ def main(argv: list[str] | None = None) -> int:
         if unknown:
             print(f"unknown language: {', '.join(unknown)}; known: {', '.join(LANGUAGES)}", file=sys.stderr)
             return 2
+    a.index = a.index or find_index(getattr(a, "root", None) or ".")
     spark = build_session("plumbline", a.master)
     spark.sparkContext.setLogLevel("ERROR")
     from plumbline.service import Engine

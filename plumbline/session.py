@@ -48,3 +48,13 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     path = f"{stage_dir(spark).rstrip('/')}/plumbline/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over all cores if its files give fewer tasks than there are cores, else as it is.
+
+    For work in Python on a small table in one row group; a large table has more splits than cores and
+    is never shuffled by this.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df

@@ -157,6 +157,12 @@ def test_what_is_indexed(spark):
     assert indexable(df, ["go"]).count() == 0
 
 
+def test_the_index_is_found_from_below(tmp_path):
+    (tmp_path / "a" / "b").mkdir(parents=True)
+    (tmp_path / ".plumbline").mkdir()
+    assert cli.find_index(str(tmp_path / "a" / "b")) == str(tmp_path / ".plumbline")
+
+
 def test_no_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Snapshots(spark, str(tmp_path)).current()
