@@ -54,7 +54,10 @@ def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its files give fewer tasks than there are cores, else as it is.
 
     For work in Python on a small table in one row group; a large table has more splits than cores and
-    is never shuffled by this.
+    is never shuffled by this.  Plans that shuffle already are left alone.
     """
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    if "Exchange" in plan or "AdaptiveSparkPlan" in plan:
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
