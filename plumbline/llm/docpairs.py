@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.extract import extractor_for
+from plumbline.session import spread
 
 _I = re.IGNORECASE
 #: Words that say nothing by themselves in documentation.
@@ -246,7 +247,7 @@ def documented_symbols(symbols: DataFrame) -> DataFrame:
     rows = symbols.select(*columns).where(
         F.col("id").isNotNull() & F.col("kind").isin("function", "method") & F.col("signature").isNotNull() & (F.length(F.trim("docstring")) > 0)
     )
-    return rows.mapInArrow(_keep, rows.schema).dropDuplicates(["id"]).withColumnRenamed("id", "symbol_id")
+    return spread(rows).mapInArrow(_keep, rows.schema).dropDuplicates(["id"]).withColumnRenamed("id", "symbol_id")
 
 
 def informative_ids(symbols: DataFrame) -> DataFrame:
@@ -254,7 +255,7 @@ def informative_ids(symbols: DataFrame) -> DataFrame:
     rows = symbols.select("id", "kind", "name", "signature", "docstring").where(
         F.col("id").isNotNull() & F.col("kind").isin("function", "method") & F.col("signature").isNotNull() & (F.length(F.trim("docstring")) > 0)
     )
-    return rows.mapInArrow(_keep, rows.schema).select(F.col("id").alias("symbol_id")).distinct()
+    return spread(rows).mapInArrow(_keep, rows.schema).select(F.col("id").alias("symbol_id")).distinct()
 
 
 def code_pairs(symbols: DataFrame, documents: DataFrame) -> DataFrame:
@@ -307,6 +308,6 @@ def lexed_pairs(documents: DataFrame) -> DataFrame:
     trivial are left out; null texts, null ids and other languages have none.  Texts don't travel.
     """
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("file_id", "lang", "text")
-    return texts.mapInArrow(_lex_functions, f"file_id bigint, lang string, found array<struct<{_LEXED.replace(' string', ':string').replace(' int', ':int')}>>").select(
+    return spread(texts).mapInArrow(_lex_functions, f"file_id bigint, lang string, found array<struct<{_LEXED.replace(' string', ':string').replace(' int', ':int')}>>").select(
         "file_id", "lang", F.inline("found")
     )

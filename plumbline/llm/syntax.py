@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.llm.grammar import Bad, Group, golang, pylang, script, validate
+from plumbline.session import spread
 from plumbline.sources.tables import latest_files
 
 LANGUAGES = ("python", "javascript", "typescript", "tsx", "go")
@@ -117,7 +118,7 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexed_files(documents: DataFrame) -> DataFrame:
     """(file_id, lang, state, pairs) of every non-null source text in one of :data:`LANGUAGES`."""
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("file_id", "lang", "text")
-    return texts.mapInArrow(_lex, "file_id bigint, lang string, state string, pairs array<string>")
+    return spread(texts).mapInArrow(_lex, "file_id bigint, lang string, state string, pairs array<string>")
 
 
 def invalid_files(documents: DataFrame) -> DataFrame:

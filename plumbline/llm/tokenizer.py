@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from plumbline.session import spread
+
 #: Fixed value: the word pattern of the byte_bpe vocabularies, with Unicode classes for Java.
 WORDS = r"(?U)'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -192,13 +194,13 @@ def encode_corpus(df: DataFrame, keep: list[str], text: str = "text", vocabulary
     Null and empty texts give an empty list; blank ones are encoded as they are.  Rows are neither
     dropped nor merged, repeated rows stay repeated, other columns are not read.
     """
-    out = _words(df.select(*keep, F.col(text).alias("_text")), "_text").select(*keep, "_words")
+    out = _words(spread(df.select(*keep, F.col(text).alias("_text"))), "_text").select(*keep, "_words")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "_words")
     return out.mapInArrow(_encode(vocabulary or default_vocabulary(), False), f"{fields}, ids array<int>")
 
 
 def token_sizes(df: DataFrame, keep: list[str], text: str = "text", vocabulary: str | None = None) -> DataFrame:
     """Columns ``keep`` and ``n_tokens bigint``: the length of :func:`encode_corpus`' list (0 for null)."""
-    out = _words(df.select(*keep, F.col(text).alias("_text")), "_text").select(*keep, "_words")
+    out = _words(spread(df.select(*keep, F.col(text).alias("_text"))), "_text").select(*keep, "_words")
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in out.schema.fields if f.name != "_words")
     return out.mapInArrow(_encode(vocabulary or default_vocabulary(), True), f"{fields}, n_tokens bigint")
