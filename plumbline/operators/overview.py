@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.functions.names import plain_rank
-
 
 def counts(files: DataFrame, symbols: DataFrame, edges: DataFrame, imports: DataFrame, refs: DataFrame) -> DataFrame:
     """One row: rows of each table, resolved and external edges, lines."""
@@ -83,6 +81,3 @@ def import_list(files: DataFrame, imports: DataFrame, path: str) -> DataFrame:
     target = files.select(F.col("id").alias("dst_file_id"), F.col("path").alias("target"))
     return imports.join(own, "file_id", "left_semi").join(target, "dst_file_id", "left").select("id", "module", "target", "external", "line").orderBy("line", "id")
 
-
-def ranked(symbols: DataFrame) -> DataFrame:
-    return symbols.withColumn("rank", plain_rank(F.col("rank")))
