@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from plumbline.extract import extractor_for
+from plumbline.extract import extractor_for, pylex
 from plumbline.session import spread
 
 _I = re.IGNORECASE
@@ -289,12 +289,13 @@ def _lex_functions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             extractor, rows = extractor_for(x), []
             if extractor is not None:
                 try:
-                    lines = t.replace("\r\n", "\n").split("\n")
-                    for d in extractor("", t).symbols:
-                        if d.kind in ("function", "method") and is_informative(d.docstring, d.name, d.signature):
-                            rows.append({"name": d.name, "local": d.local, "kind": d.kind, "start_line": d.start_line, "end_line": d.end_line, "signature": d.signature, "docstring": d.docstring, "code": "\n".join(lines[d.start_line - 1 : d.end_line])})
-                except (SyntaxError, ValueError, RecursionError):
-                    rows = []  # a Python text that doesn't parse has no functions to delimit
+                    symbols = extractor("", t).symbols
+                except (SyntaxError, ValueError, RecursionError, MemoryError):
+                    symbols = pylex.extract("", t).symbols if x == "python" else []  # only Python has a parser that can refuse a text
+                lines = t.replace("\r\n", "\n").split("\n")
+                for d in symbols:
+                    if d.kind in ("function", "method") and is_informative(d.docstring, d.name, d.signature):
+                        rows.append({"name": d.name, "local": d.local, "kind": d.kind, "start_line": d.start_line, "end_line": d.end_line, "signature": d.signature, "docstring": d.docstring, "code": "\n".join(lines[d.start_line - 1 : d.end_line])})
             found.append(rows)
         yield pa.RecordBatch.from_arrays([batch.column(batch.schema.get_field_index("file_id")), batch.column(batch.schema.get_field_index("lang")), pa.array(found, kinds)], ["file_id", "lang", "found"])
 
@@ -304,8 +305,9 @@ def lexed_pairs(documents: DataFrame) -> DataFrame:
     themselves, without a symbols table.
 
     A string- and comment-aware lexer matches braces to delimit the functions of JavaScript, TypeScript and Go and attaches the
-    comment block directly above; Python has its own parser and docstrings.  Functions whose documentation is empty or
-    trivial are left out; null texts, null ids and other languages have none.  Texts don't travel.
+    comment block directly above; Python has its own parser and docstrings, and texts that the parser rejects are delimited by
+    a lexer and indentation, so that damage costs the functions it lies in and not the file.  Functions whose documentation is
+    empty or trivial are left out; null texts, null ids and other languages have none.  Texts don't travel.
     """
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("file_id", "lang", "text")
     return spread(texts).mapInArrow(_lex_functions, f"file_id bigint, lang string, found array<struct<{_LEXED.replace(' string', ':string').replace(' int', ':int')}>>").select(

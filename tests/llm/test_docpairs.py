@@ -48,3 +48,45 @@ def test_lexed(spark):
     go = "package p\n\n// Put never blocks.\nfunc Put(k string) string { return k }\n\n// TODO\nfunc Get() {}\n"
     d = spark.createDataFrame([(1, "go", go), (2, "python", "def f(:"), (3, "en", "prose"), (4, None, "x"), (5, "python", 'def g():\n    """Fails late."""\n')], "file_id long, lang string, text string")
     assert {(r["file_id"], r["name"], r["code"].count("\n")) for r in lexed_pairs(d).collect()} == {(1, "Put", 0), (5, "g", 1)}
+
+
+BROKEN = '''class Store:
+    def put(self, key):  # a { in a comment
+        """Never blocks.
+
+        def inner(): of the text
+        """
+        return {"a": "}", 'b': key
+
+    @cached(1)
+    async def get(self,
+                  key="(") -> dict[str, int]:
+        \'\'\'Fails late.\'\'\'
+        x = "not closed
+        if key
+            return x
+<<<<<<< HEAD
+        return None
+
+# Counts every waiter.
+def size(n): return n
+
+def lost(:
+    """Never found."""
+
+def tail(n):
+    """Keeps the newest row."""
+    print n
+'''
+
+
+def test_lexed_keeps_the_functions_of_broken_python(spark):
+    unclosed = 'def a():\n    """Never blocks.\n    return 1\n\ndef b():\n    """Fails late."""\n    return 2\n'
+    cut = 'def a():\r\n    """Never blocks."""\r\n    return 1\r\n\r\ndef b(x):\r\n    """Fails late."""\r\n    return (x,'
+    d = spark.createDataFrame([(1, "python", BROKEN), (2, "python", unclosed), (3, "python", cut)], "file_id long, lang string, text string")
+    got = {(r["file_id"], r["local"], r["kind"], r["start_line"], r["end_line"], r["signature"], r["docstring"].split("\n")[0]) for r in lexed_pairs(d).collect()}
+    assert got == {
+        (1, "Store.put", "method", 2, 7, "def put(self, key)", "Never blocks."), (1, "Store.get", "method", 10, 17, 'async def get(self, key="(") -> dict[str, int]', "Fails late."),
+        (1, "size", "function", 20, 20, "def size(n)", "Counts every waiter."), (1, "tail", "function", 25, 27, "def tail(n)", "Keeps the newest row."),
+        (2, "b", "function", 5, 7, "def b()", "Fails late."), (3, "a", "function", 1, 3, "def a()", "Never blocks."), (3, "b", "function", 5, 7, "def b(x)", "Fails late."),
+    }
