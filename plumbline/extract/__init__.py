@@ -7,12 +7,13 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+#: Limits of the index tables (:func:`indexed`); extractors return everything.
 SIGNATURE_LENGTH = 220
 DOCSTRING_LENGTH = 500
-MAX_REFS = 20_000
 MAX_COMMENTS = 12
+MAX_REFS = 20_000
 
 
 @dataclass
@@ -26,6 +27,7 @@ class Definition:
     docstring: str | None
     parent: str | None
     exported: bool
+    nearest: str | None = None  # documentation of the last MAX_COMMENTS comments, where there are more
 
 
 @dataclass
@@ -56,7 +58,7 @@ def shorten(text: str, size: int) -> str:
 
 def signature_of(source: str) -> str:
     """One line, without what opens the body."""
-    return shorten(re.sub(r"\s+", " ", source).strip().rstrip("{:=> ").rstrip(), SIGNATURE_LENGTH)
+    return re.sub(r"\s+", " ", source).strip().rstrip("{:=> ").rstrip()
 
 
 def clean_doc(text: str) -> str | None:
@@ -67,7 +69,18 @@ def clean_doc(text: str) -> str | None:
         s = re.sub(r"^(/\*+!?|\*/|\*+|//+!?|#+)\s?", "", s)
         lines.append(re.sub(r"\s*\*/$", "", s).rstrip())
     out = "\n".join(lines).strip()
-    return shorten(out, DOCSTRING_LENGTH) if out else None
+    return out or None
+
+
+def docs_of(comments: list[str]) -> tuple[str | None, str | None]:
+    """``docstring`` and ``nearest`` of a comment block, first comment first."""
+    return clean_doc("\n".join(comments)), (clean_doc("\n".join(comments[-MAX_COMMENTS:])) or "") if len(comments) > MAX_COMMENTS else None
+
+
+def indexed(d: Definition) -> Definition:
+    """A definition within the limits of the index tables."""
+    doc = d.docstring if d.nearest is None else d.nearest
+    return replace(d, signature=shorten(d.signature, SIGNATURE_LENGTH), docstring=shorten(doc, DOCSTRING_LENGTH) if doc else None, nearest=None)
 
 
 def keep_refs(refs: list[tuple]) -> list[tuple]:

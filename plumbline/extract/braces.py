@@ -10,7 +10,7 @@ import re
 from bisect import bisect_right
 from dataclasses import dataclass
 
-from plumbline.extract import MAX_COMMENTS, Definition, Facts, clean_doc, keep_refs, register, signature_of, specific
+from plumbline.extract import Definition, Facts, docs_of, keep_refs, register, signature_of, specific
 
 _TOKEN = re.compile(
     r"""(?P<ws>\s+)|(?P<lc>//[^\n]*)|(?P<bc>/\*[\s\S]*?(?:\*/|\Z))|(?P<id>[A-Za-z_$\u0080-￿][\w$]*)|(?P<str>"(?:[^"\\\n]|\\.)*"|'(?:[^'\\\n]|\\.)*')
@@ -107,14 +107,14 @@ class _Source:
         """The token after the group that opens at ``i``."""
         return (self.toks[i].mate if self.toks[i].mate > i else len(self.toks) - 1) + 1
 
-    def doc_above(self, line: int) -> str | None:
+    def doc_above(self, line: int) -> tuple[str | None, str | None]:
         got: list[str] = []
         k = line - 1
-        while k in self.comment_lines and len(got) < MAX_COMMENTS:
+        while k in self.comment_lines:
             first, text = self.comment_lines[k]
             got.append(text)
             k = first - 1
-        return clean_doc("\n".join(reversed(got))) if got else None
+        return docs_of(got[::-1])
 
     def end_of(self, i: int) -> int:
         return self.toks[min(i, len(self.toks) - 1)].end
@@ -161,8 +161,9 @@ class _Scan:
             chain = [x[2] for x in stack]
             start, end = s.line(s.toks[first].pos), s.line(max(s.toks[first].pos, s.end_of(last) - 1))
             stop = s.toks[body].pos if first < body <= last else s.end_of(last)
+            doc, nearest = s.doc_above(start)
             self.facts.symbols.append(
-                Definition(name, ".".join([*chain, name]), kind, start, end, signature_of(s.text[s.toks[first].pos : stop]), s.doc_above(start), ".".join(chain) or None, exported)
+                Definition(name, ".".join([*chain, name]), kind, start, end, signature_of(s.text[s.toks[first].pos : stop]), doc, ".".join(chain) or None, exported, nearest)
             )
             stack.append((first, last, name, kind))
             self.spans.append((first, last, ".".join([*chain, name]), kind))

@@ -5,19 +5,19 @@ from __future__ import annotations
 import ast
 import warnings
 
-from plumbline.extract import MAX_COMMENTS, Definition, Facts, clean_doc, keep_refs, register, signature_of, specific
+from plumbline.extract import Definition, Facts, clean_doc, docs_of, keep_refs, register, signature_of, specific
 
 _DEFS = (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef)
 
 
-def comment_above(lines: list[str], start: int) -> str | None:
+def comment_above(lines: list[str], start: int) -> tuple[str | None, str | None]:
     """The comment lines that end directly above line ``start``."""
     got: list[str] = []
     k = start - 2
-    while k >= 0 and len(got) < MAX_COMMENTS and lines[k].strip().startswith("#"):
+    while k >= 0 and lines[k].strip().startswith("#"):
         got.append(lines[k])
         k -= 1
-    return clean_doc("\n".join(reversed(got))) if got else None
+    return docs_of(got[::-1])
 
 
 class _Walk:
@@ -39,10 +39,11 @@ class _Walk:
         local = ".".join([o for o, _ in owner] + [name])
         doc = ast.get_docstring(node) if isinstance(node, _DEFS) else None
         first = min([node.lineno, *[d.lineno for d in getattr(node, "decorator_list", [])]])
+        text, nearest = (clean_doc(doc), None) if doc else comment_above(self.lines, first)
         self.facts.symbols.append(
             Definition(
                 name, local, kind, node.lineno, node.end_lineno or node.lineno, signature_of(self.source(node, body)),
-                clean_doc(doc) if doc else comment_above(self.lines, first), ".".join(o for o, _ in owner) or None, not name.startswith("_"),
+                text, ".".join(o for o, _ in owner) or None, not name.startswith("_"), nearest,
             )
         )
 

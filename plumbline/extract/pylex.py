@@ -153,9 +153,10 @@ def extract(path: str, text: str) -> Facts:
             if colon >= 0:
                 chain = [x[1] for x in stack]
                 doc = _docstring(lines, colon, width)
+                doc, nearest = (clean_doc(doc), None) if doc else comment_above(rows, decorated or line)
                 made = Definition(
                     name, ".".join([*chain, name]), kind, line, line, signature_of(text[at:colon]),
-                    clean_doc(doc) if doc else comment_above(rows, decorated or line), ".".join(chain) or None, not name.startswith("_"),
+                    doc, ".".join(chain) or None, not name.startswith("_"), nearest,
                 )
                 facts.symbols.append(made)
             stack.append((width, name, kind, made))

@@ -306,7 +306,8 @@ def lexed_pairs(documents: DataFrame) -> DataFrame:
 
     A string- and comment-aware lexer matches braces to delimit the functions of JavaScript, TypeScript and Go and attaches the
     comment block directly above; Python has its own parser and docstrings, and texts that the parser rejects are delimited by
-    a lexer and indentation, so that damage costs the functions it lies in and not the file.  Functions whose documentation is
+    a lexer and indentation, so that damage costs the functions it lies in and not the file.  Comments and signatures are whole; the index's limits
+    on their length don't hold here.  Functions whose documentation is
     empty or trivial are left out; null texts, null ids and other languages have none.  Texts don't travel.
     """
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isNotNull()).select("file_id", "lang", "text")

@@ -26,7 +26,7 @@ _FACTS = f"path string, lang string, symbols array<{_S}>, refs array<{_R}>, impo
 
 
 def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    from plumbline.extract import extractor_for
+    from plumbline.extract import extractor_for, indexed
 
     s = pa.struct([("name", pa.string()), ("local", pa.string()), ("kind", pa.string()), ("start_line", pa.int32()), ("end_line", pa.int32()), ("signature", pa.string()), ("docstring", pa.string()), ("parent", pa.string()), ("exported", pa.bool_())])
     r = pa.struct([("src_local", pa.string()), ("dst_name", pa.string()), ("kind", pa.string()), ("line", pa.int32())])
@@ -41,7 +41,7 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if extractor is None:
                     raise ValueError(f"no extractor for {x}")
                 f = extractor(p, t)
-                rows.append(([{k: getattr(d, k) for k in names(s)} for d in f.symbols], [dict(zip(names(r), v)) for v in f.refs], [dict(zip(names(i), v)) for v in f.imports], None))
+                rows.append(([{k: getattr(d, k) for k in names(s)} for d in map(indexed, f.symbols)], [dict(zip(names(r), v)) for v in f.refs], [dict(zip(names(i), v)) for v in f.imports], None))
             except Exception as e:  # one bad file is a failure row, not a failed job
                 rows.append(([], [], [], f"{type(e).__name__}: {e}"))
         cols = list(zip(*rows)) if rows else [[], [], [], []]

@@ -90,3 +90,15 @@ def test_lexed_keeps_the_functions_of_broken_python(spark):
         (1, "size", "function", 20, 20, "def size(n)", "Counts every waiter."), (1, "tail", "function", 25, 27, "def tail(n)", "Keeps the newest row."),
         (2, "b", "function", 5, 7, "def b()", "Fails late."), (3, "a", "function", 1, 3, "def a()", "Never blocks."), (3, "b", "function", 5, 7, "def b(x)", "Fails late."),
     }
+
+
+def test_lexed_takes_the_whole_comment_and_signature(spark):
+    above = lambda sign: "\n".join([f"{sign} Never blocks."] + [f"{sign} TODO"] * 29)
+    args = ", ".join(f"argument_{i} int" for i in range(30))
+    texts = [
+        ("go", f"package p\n\n{above('//')}\nfunc Put({args}) int {{ return 1 }}\n"), ("typescript", f"{above('//')}\nfunction put() {{ return 1 }}\n"), ("python", f"{above('#')}\ndef put():\n    return 1\n"),
+        ("python", f"{above('#')}\ndef put():\n    return (\n"), ("python", 'def put():\n    """' + "TODO\n\n    " * 100 + 'Never blocks."""\n'), ("go", "/* " + "TODO\n\n" * 100 + "Never blocks. */\nfunc Put() {}\n"),
+    ]
+    got = {r["file_id"]: r for r in lexed_pairs(spark.createDataFrame([(i, *t) for i, t in enumerate(texts)], "file_id long, lang string, text string")).collect()}
+    assert {i: len(r["docstring"].split("\n")) for i, r in got.items()} == {0: 30, 1: 30, 2: 30, 3: 30, 4: 201, 5: 201}
+    assert all("Never blocks." in r["docstring"] for r in got.values()) and got[0]["signature"] == f"func Put({args}) int"

@@ -103,3 +103,15 @@ def test_refs_are_distinct_and_without_noise():
 def test_a_language_can_be_added():
     register("nothing", lambda path, text: Facts())
     assert extractor_for("nothing")("x", "y").symbols == []
+
+
+def test_limits_hold_for_the_index_only():
+    from plumbline.extract import indexed
+
+    args = ", ".join(f"a{i} int" for i in range(80))
+    d = extractor_for("go")("x.go", "\n".join(f"// Line {i}." for i in range(30)) + f"\nfunc Put({args}) {{}}\n").symbols[0]
+    assert d.docstring.count("\n") == 29 and d.signature == f"func Put({args})"
+    x = indexed(d)
+    assert x.docstring == "\n".join(f"Line {i}." for i in range(18, 30)) and 200 < len(x.signature) <= 220
+    long = indexed(extractor_for("python")("x.py", f'def f():\n    """{"word " * 300}"""\n').symbols[0])
+    assert len(long.docstring) <= 500 and long.docstring.endswith("…")
