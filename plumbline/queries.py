@@ -83,6 +83,12 @@ def src_symbol_source(spark, d):
     return lookup.symbol_source(w.symbols.where("kind = 'const'"), w.texts)
 
 
+def src_all_sources(spark, d):
+    """The source of every symbol; :func:`src_symbol_source` is the part of it that its SQL covers."""
+    w = Workspace(spark, d)
+    return lookup.symbol_source(w.symbols, w.texts)
+
+
 # --- traversal ------------------------------------------------------------------------------------
 def _walk(spark, d, direction: str):
     w = Workspace(spark, d)
@@ -466,6 +472,7 @@ QUERIES = {
     "srt6_match_files": srt_match_files,
     "flt9_members": flt_members,
     "src11_symbol_source": src_symbol_source,
+    "src11_all_sources": src_all_sources,
     "q05_who_calls": q05_who_calls,
     "q05_all_callers": q05_all_callers,
     "q06_what_it_calls": q06_what_it_calls,
@@ -517,6 +524,9 @@ ORACLES = {
     "src11_symbol_source": _sql(""",
         t AS (SELECT file_id, max(text) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id)
         SELECT s.id, array_to_string(string_split(t.text, chr(10))[greatest(1, start_line):end_line], chr(10)) AS source FROM s LEFT JOIN t USING (file_id) WHERE kind = 'const'"""),
+    "src11_all_sources": _sql(""",
+        t AS (SELECT file_id, max(text) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id)
+        SELECT s.id, array_to_string(string_split(t.text, chr(10))[greatest(1, start_line):end_line], chr(10)) AS source FROM s LEFT JOIN t USING (file_id)"""),
     "q05_who_calls": _walk_sql("dst_id", "src_id"),
     "q05_all_callers": _ALL_CALLERS_SQL,
     "q06_what_it_calls": _walk_sql("src_id", "dst_id"),
