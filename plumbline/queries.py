@@ -104,13 +104,19 @@ def q06_what_it_calls(spark, d):
 
 
 def q05_all_callers(spark, d):
-    """The callers, up to two calls away, of every symbol that the most called file's importers might break: all roots in one plan."""
+    """The callers, up to two calls away, of the members of exported classes; :func:`q05_every_caller` has all roots."""
     w = Workspace(spark, d)
     roots = w.symbols.where("exported AND kind = 'class'").select(F.col("id").alias("root"))
     inside = w.symbols.select("id", F.col("parent_id").alias("root")).where("root IS NOT NULL").join(roots, "root", "left_semi").select(F.col("id").alias("root"))
     return traverse.walk(w.edges, inside, "callers", 2, 0.3)
 
 
+def q05_every_caller(spark, d):
+    """The callers, up to two calls away, of every symbol, all roots in one plan: a root without rows has no callers."""
+    w = Workspace(spark, d)
+    return traverse.walk(w.edges, w.symbols.select(F.col("id").alias("root")), "callers", 2, 0.3)
+
+
 def _walk_sql(near: str, far: str) -> str:
     return _sql(f""",
         u AS (SELECT * FROM calls WHERE confidence >= 0.4),
@@ -128,6 +134,13 @@ _ALL_CALLERS_SQL = _sql(""",
           UNION ALL SELECT a.dst_id, b.src_id, 2, least(a.confidence, b.confidence), b.line, b.reason FROM u a JOIN u b ON b.dst_id = a.src_id WHERE a.dst_id IN (SELECT id FROM roots))
     SELECT root, id, min(depth) AS depth, max(c) AS confidence, min(line) AS via_line, min(reason) AS reason FROM w WHERE id <> root GROUP BY root, id""")
 
+_EVERY_CALLER_SQL = _sql(""",
+    u AS (SELECT * FROM calls WHERE confidence >= 0.3),
+    w AS (SELECT dst_id AS root, src_id AS id, 1 AS depth, confidence AS c, line, reason FROM u
+          UNION ALL SELECT a.dst_id, b.src_id, 2, least(a.confidence, b.confidence), b.line, b.reason FROM u a JOIN u b ON b.dst_id = a.src_id)
+    SELECT root, id, min(depth) AS depth, max(c) AS confidence, min(line) AS via_line, min(reason) AS reason FROM w
+    WHERE id <> root AND root IN (SELECT id FROM s) GROUP BY root, id""")
+
 
 def q07_dependent_files(spark, d):
     w = Workspace(spark, d)
@@ -475,6 +488,7 @@ QUERIES = {
     "src11_all_sources": src_all_sources,
     "q05_who_calls": q05_who_calls,
     "q05_all_callers": q05_all_callers,
+    "q05_every_caller": q05_every_caller,
     "q06_what_it_calls": q06_what_it_calls,
     "q07_dependent_files": q07_dependent_files,
     "q07_all_dependents": q07_all_dependents,
@@ -529,6 +543,7 @@ ORACLES = {
         SELECT s.id, array_to_string(string_split(t.text, chr(10))[greatest(1, start_line):end_line], chr(10)) AS source FROM s LEFT JOIN t USING (file_id)"""),
     "q05_who_calls": _walk_sql("dst_id", "src_id"),
     "q05_all_callers": _ALL_CALLERS_SQL,
+    "q05_every_caller": _EVERY_CALLER_SQL,
     "q06_what_it_calls": _walk_sql("src_id", "dst_id"),
     "q07_dependent_files": _DEPENDENTS_SQL,
     "q07_all_dependents": _ALL_DEPENDENTS_SQL,

@@ -23,3 +23,19 @@ def test_source_of_every_symbol(spark, folder):
     want = {s[0]: "\n".join(texts[s[1]].split("\n")[s[7] - 1 : s[8]]) if s[1] in texts else None for s in symbols}
     got = QUERIES["src11_all_sources"](spark, path).collect()
     assert {r["id"]: r["source"] for r in got} == want and len(got) == 24
+
+
+def test_callers_of_every_symbol(spark, folder):
+    path, symbols, _ = folder
+    edges = [(k, k * 7 % 24, (k * 5 + k // 3) % 26, "n", ["calls", "instantiates", "inherits"][k % 3], k % 9, [0.9, 0.5, 0.2, 0.3][k % 4], f"r{k % 2}") for k in range(60)] + [(60, 1, None, "n", "calls", 1, 0.9, "r")]
+    spark.createDataFrame(edges, "id long, src_id long, dst_id long, dst_name string, kind string, line int, confidence double, reason string").write.parquet(f"{path}/edges.parquet")
+    calls = [e for e in edges if e[4] != "inherits" and e[6] >= 0.3 and e[2] is not None]
+    walks = [(a[2], a[1], 1, a[6], a[5], a[7]) for a in calls] + [(a[2], b[1], 2, min(a[6], b[6]), b[5], b[7]) for a in calls for b in calls if b[2] == a[1]]
+    want = {}
+    for root, node, depth, sure, line, reason in walks:
+        if node != root and root < 24:
+            x = want.get((root, node), (depth, sure, line, reason))
+            want[root, node] = (min(x[0], depth), max(x[1], sure), min(x[2], line), min(x[3], reason))
+    got = QUERIES["q05_every_caller"](spark, path).collect()
+    assert {(r["root"], r["id"]): (r["depth"], r["confidence"], r["via_line"], r["reason"]) for r in got} == want
+    assert {symbols[r][5] for r, _ in want} == set(KINDS)
