@@ -5,12 +5,12 @@ Evidence, strongest first, each judged on the file's own path and text:
 * the path: directories for third-party code, names that build tools give;
 * the header: a note in the comments before the first code that a program or another project made it;
 * the composition of the text: machine-repeated lines, compressed code, literals without code;
-* containment: the share of a file's rare lines that also occur in marked third-party files of *other*
+* containment: the share of a file's lines that also occur in marked third-party files of *other*
   repositories, from an inverted index of line hashes.  A copy is no case by itself, so containment only
   decides where the header speaks of an origin too weakly to count alone (a project with a version, say).
 
 The index has a row per line hash with the least and greatest marked repository, which combine on the map side;
-a line in a third of all files is one row per task, and no pair of files is formed.
+a line in a third of all files is one row per task and kept, and no pair of files is formed.
 """
 
 from __future__ import annotations
@@ -244,35 +244,29 @@ def file_evidence(files: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def vendored_containment(evidence: DataFrame, documents: DataFrame, min_line: int = 16, max_share: float = 0.001) -> DataFrame:
-    """(file_id, rare_lines, contained): exact containment of each file's rare lines in marked third-party
-    files of other repositories.
+def vendored_containment(evidence: DataFrame, documents: DataFrame, min_line: int = 16) -> DataFrame:
+    """(file_id, lines, contained): exact containment of each file's lines in marked third-party files of other
+    repositories.
 
-    A line counts trimmed and once per file; short lines don't count.  Rare: in at most ``max_share`` of the
-    files, but always if in fewer than 64.
+    A line counts without white space around it and once per file; short lines don't count.  However many files a
+    line is in, it counts: a project that is copied into a great many places has no other ones.
     """
     marked = evidence.select("file_id", "repo", (F.col("third_party") | (F.col("header") == "vendored")).alias("marked"))
     lines = (
         documents.where("file_id IS NOT NULL AND text IS NOT NULL")
-        .select("file_id", F.explode(F.split("text", "\n")).alias("line"))
-        .select("file_id", F.trim("line").alias("line"))
+        .select("file_id", F.explode(F.split("text", "[\r\n]")).alias("line"))
+        .select("file_id", F.btrim("line", F.lit(" \t\f\v\ufeff")).alias("line"))
         .where(F.length("line") >= min_line)
         .select("file_id", F.xxhash64("line").alias("h"))
         .distinct()
         .join(marked.hint("merge"), "file_id")  # grows with the files; its staged size would deceive
     )
     lines = stage(lines, "lines")
-    n = evidence.count()
-    rare = (
-        lines.groupBy("h")
-        .agg(F.count("*").alias("df"), F.min(F.when(F.col("marked"), F.col("repo"))).alias("r0"), F.max(F.when(F.col("marked"), F.col("repo"))).alias("r1"))
-        .where(F.col("df") <= max(64, int(n * max_share)))
-        .select("h", "r0", "r1")
-    )
+    index = lines.where("marked").groupBy("h").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"))
     return (
-        lines.join(rare, "h")
+        lines.join(index.hint("merge"), "h", "left")
         .groupBy("file_id")
-        .agg(F.count("*").alias("rare_lines"), F.avg(F.when((F.col("r0") != F.col("repo")) | (F.col("r1") != F.col("repo")), 1.0).otherwise(0.0)).alias("contained"))
+        .agg(F.count("*").alias("lines"), F.avg(F.when((F.col("r0") != F.col("repo")) | (F.col("r1") != F.col("repo")), 1.0).otherwise(0.0)).alias("contained"))
     )
 
 
@@ -284,7 +278,7 @@ def not_hand_written(files: DataFrame, documents: DataFrame, min_contained: floa
     evidence = stage(file_evidence(files, documents), "evidence")
     copies = vendored_containment(evidence, documents)
     weak = evidence.where("header = 'weak'").join(copies, "file_id", "left")
-    contained = weak.where((F.col("contained") >= min_contained) & (F.col("rare_lines") >= min_lines)).select("file_id", F.lit("contained").alias("reason"))
+    contained = weak.where((F.col("contained") >= min_contained) & (F.col("lines") >= min_lines)).select("file_id", F.lit("contained").alias("reason"))
     reason = (
         F.when(F.col("third_party"), "third-party")
         .when(F.col("header").isin("generated", "vendored"), F.col("header"))

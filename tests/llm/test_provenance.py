@@ -44,3 +44,23 @@ def test_operator(spark):
 def test_empty(spark):
     f = spark.createDataFrame([], "id long, path string, sha256 string, indexed_at timestamp_ntz")
     assert not_hand_written(f, spark.createDataFrame([], "file_id long, text string")).count() == 0
+
+
+def _copied(spark, places, edit):
+    """A third-party file in ``places`` marked directories, an edited copy with a weak header, and a file of its own with such a header."""
+    lines = [f"result_{k} = compute_value({k})" for k in range(20)]
+    head = "# Sort Kit 2.4.1\n"
+    assert judge_header(header_of(head + lines[0])) == "weak"
+    docs = [(k, f"r{k}/vendor/kit/a.py", "\n".join(lines)) for k in range(places)]
+    docs += [(1000, "own/src/a.py", head + edit(lines)), (1001, "own/src/b.py", head + "\n".join(x.replace("value", "other") for x in lines)), (1002, "own/src/c.py", "\n".join(lines[:5] + [f"own_line_number_{k} = {k}" for k in range(15)]))]
+    f = spark.createDataFrame([x[:2] for x in docs], "id long, path string").selectExpr("id", "path", "'s' AS sha256", "timestamp_ntz'2024-01-01' AS indexed_at")
+    found = not_hand_written(f, spark.createDataFrame([(x[0], x[2]) for x in docs], "file_id long, text string")).collect()
+    return {r["file_id"]: r["reason"] for r in found if r["file_id"] >= 1000}
+
+
+def test_a_project_copied_to_many_places_is_found(spark):
+    assert _copied(spark, 80, lambda x: "\n".join([*x[:18], "changed_here = 1234567", x[19]])) == {1000: "contained"}
+
+
+def test_containment_survives_white_space(spark):
+    assert _copied(spark, 2, lambda x: "\r\n".join("\t" + y for y in x)) == {1000: "contained"}
