@@ -256,6 +256,12 @@ def ga1_pagerank(spark, d):
     return rank.pagerank(_call_links(w), w.symbols.select("id"), iterations=10, tolerance=0.0).withColumn("score", F.round("score", 10))
 
 
+def ga1_pagerank_converged(spark, d):
+    """The ranks with the operator's own settings, until they no longer change; :func:`ga1_pagerank` stops where its SQL does."""
+    w = Workspace(spark, d)
+    return rank.pagerank(_call_links(w), w.symbols.select("id")).withColumn("score", F.round("score", 10))
+
+
 def _pagerank_sql(rounds: int) -> str:
     steps = [f"""k0 AS MATERIALIZED (SELECT id, 1.0 / (SELECT count(*) FROM n) AS score, id NOT IN (SELECT src FROM p) AS loose FROM n)"""]
     for k in range(1, rounds + 1):
@@ -507,6 +513,7 @@ QUERIES = {
     "q09_related": q09_related,
     "q15_cycles": q15_cycles,
     "ga1_pagerank": ga1_pagerank,
+    "ga1_pagerank_converged": ga1_pagerank_converged,
     "ga3_components": ga3_components,
     "ga3_name_components": ga3_name_components,
     "ga4_layers": ga4_layers,

@@ -39,3 +39,17 @@ def test_callers_of_every_symbol(spark, folder):
     got = QUERIES["q05_every_caller"](spark, path).collect()
     assert {(r["root"], r["id"]): (r["depth"], r["confidence"], r["via_line"], r["reason"]) for r in got} == want
     assert {symbols[r][5] for r, _ in want} == set(KINDS)
+
+
+def test_pagerank_until_it_converges(spark, folder):
+    path, symbols, _ = folder
+    links = [(k, (k + 1) % 12) for k in range(12)] + [(0, 5), (3, 14), (14, 15), (15, 14)]
+    spark.createDataFrame([(k, a, b, "n", "calls", 1, 1.0, "r") for k, (a, b) in enumerate(links)], "id long, src_id long, dst_id long, dst_name string, kind string, line int, confidence double, reason string").write.parquet(f"{path}/edges.parquet")
+    n, rounds = 24, [dict.fromkeys(range(24), 1 / 24)]
+    out = {a: sum(s == a for s, _ in links) for a in range(n)}
+    while len(rounds) <= 30 and (len(rounds) < 2 or sum(abs(rounds[-1][a] - rounds[-2][a]) for a in range(n)) >= 1e-7):
+        r = rounds[-1]
+        lost = sum(r[a] for a in r if not out[a])
+        rounds.append({a: 0.15 / n + 0.85 * (sum(r[s] / out[s] for s, t in links if t == a) + lost / n) for a in range(n)})
+    got = {r["id"]: r["score"] for r in QUERIES["ga1_pagerank_converged"](spark, path).collect()}
+    assert got == pytest.approx(rounds[-1], abs=1e-9) and got != pytest.approx(rounds[10], abs=1e-6)
