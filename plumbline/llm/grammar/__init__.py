@@ -1,26 +1,24 @@
-"""Lexers and statement productions of the languages.
+"""Lexers, token-pair grammars and statement productions of the languages.
 
-A text is lexed to one character per token; every bracket pair is reduced to one symbol of its parent
-(P, K or B), so a file becomes short strings of symbols, one per bracket group.  A production is the symbol
-string of a group, or of one statement of it; equal strings need to be validated once only, and a valid
-one tells what each nested group has to be.
+A lexer turns a text into a flat string with one character for each token class; brackets stay in it, nothing is
+nested yet.  Nesting is reduced outside, by windows over the bracket tokens, which gives the symbol string of
+every bracket group with one symbol (its opening) for each group in it.  A production is the symbol string of a group,
+or of one statement of it; equal strings need to be validated once only, and a valid one tells what each nested
+group has to be.
 """
 
 from __future__ import annotations
 
+#: The class of what a lexer can't read; no grammar permits it next to anything.
+ERROR = "\x01"
+#: The classes before the first and after the last token of a text.
+START, END = "\x02", "\x03"
+#: Closing brackets; what opens is a letter of the language's ``OPENS``, which also stands for the group in its parent.
+CLOSES = ")]}D"
 
-class Bad(Exception):
-    """The text or production isn't valid."""
-
-
-class Group:
-    """Symbols of a bracket group and its nested groups in order."""
 
-    __slots__ = ("kids", "symbols")
-
-    def __init__(self, symbols: str, kids: list):
-        self.symbols = symbols
-        self.kids = kids
+class Bad(Exception):
+    """The production isn't valid."""
 
 
 class Symbols:
@@ -87,17 +85,18 @@ class Cursor:
 REMEMBERED = 400_000
 
 
-def validate(group: Group, kind: str, parse, cut, memory: dict) -> bool:
-    """Whether a group, and all groups in it, are valid as ``kind``.
+def validate(groups: list[tuple[int, str]], parse, cut, memory: dict) -> bool:
+    """Whether all bracket groups of a text are valid, given as (depth, symbols) in the order of their openings.
 
-    ``cut(symbols, kind)`` splits the symbols into (symbols, kind) productions; ``parse(symbols, kind)`` returns the
-    kinds of the production's groups in order, or None.
+    The first is the text itself, of kind ``file``.  ``cut(symbols, kind)`` splits symbols into (symbols, kind)
+    productions; ``parse(symbols, kind)`` returns the kinds of the production's groups in order, or raises Bad.
+    In the order of the openings the groups of a group follow it at once, so one queue for each depth suffices.
     """
-    todo = [(group, kind)]
-    while todo:
-        g, k = todo.pop()
-        at = 0
-        for part, part_kind in cut(g.symbols, k):
+    queues: list[list[str]] = [["file"]]
+    for depth, symbols in groups:
+        kind = queues[depth].pop()
+        wanted: list[str] = []
+        for part, part_kind in cut(symbols, kind):
             key = (part_kind, part)
             if key in memory:
                 kinds = memory[key]
@@ -106,14 +105,17 @@ def validate(group: Group, kind: str, parse, cut, memory: dict) -> bool:
                     memory.clear()
                 try:
                     kinds = parse(part, part_kind)
-                except (Bad, RecursionError):
+                except Bad:
                     kinds = None
+                except RecursionError:
+                    return True  # deeper than can be told, in any language
                 memory[key] = kinds
             if kinds is None:
                 return False
-            for x in kinds:
-                todo.append((g.kids[at], x))
-                at += 1
-        if at != len(g.kids):
-            return False
+            wanted += kinds
+        wanted.reverse()
+        if depth + 1 == len(queues):
+            queues.append(wanted)
+        else:
+            queues[depth + 1] = wanted
     return True

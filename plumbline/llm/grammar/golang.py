@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from plumbline.llm.grammar import Bad, Cursor, Group, Symbols
+from plumbline.llm.grammar import ERROR, Bad, Cursor, Symbols
 
 #: Keywords and operators of Go.
 S = Symbols(
@@ -22,25 +22,21 @@ _TOKEN = re.compile(
     |(?P<op><<=|>>=|&\^=|\.\.\.|&&|\|\||<-|\+\+|--|==|!=|<=|>=|:=|\+=|-=|\*=|/=|%=|&=|\|=|\^=|<<|>>|&\^|[-+*/%&|^<>=!~,.:;])|(?P<open>[(\[{])|(?P<close>[)\]}])""",
     re.X,
 )
-_ENDS = frozenset("n0sPKB") | S.set("break continue fallthrough return ++ --")
-_PAIR = {"(": ")", "[": "]", "{": "}"}
-_ATOM = {"(": "P", "[": "K", "{": "B"}
+OPENS = {"P": ")", "K": "]", "B": "}"}
+_OPEN = {"(": "P", "[": "K", "{": "B"}
+_ENDS = frozenset("n0s)]}") | S.set("break continue fallthrough return ++ --")
 
 
-def lex(text: str) -> Group:
-    """The file as a group; ``\\n`` is an inserted semicolon.  Raises Bad on characters and brackets that don't fit."""
-    if text.startswith("﻿"):
-        text = text[1:]
-    stack: list[tuple[str, list, list]] = []
+def lex(text: str) -> str:
+    """The token classes of a file; ``\\n`` is an inserted semicolon, left out before a closing brace."""
     out: list[str] = []
-    kids: list[Group] = []
     words = S.words
-    pos, end = 0, len(text)
+    pos, end = 1 if text.startswith("\ufeff") else 0, len(text)
     match = _TOKEN.match
     while pos < end:
         m = match(text, pos)
         if m is None:
-            raise Bad
+            return "".join(out) + ERROR
         pos = m.end()
         what = m.lastgroup
         if what == "ws":
@@ -53,35 +49,27 @@ def lex(text: str) -> Group:
         elif what == "op":
             out.append(O[m.group()])
         elif what == "open":
-            ch = m.group()
-            stack.append((ch, out, kids))
-            out, kids = [], []
+            out.append(_OPEN[m.group()])
         elif what == "close":
-            if not stack or _PAIR[stack[-1][0]] != m.group():
-                raise Bad
-            ch, up, up_kids = stack.pop()
-            while ch == "{" and out and out[-1] == "\n":
+            ch = m.group()
+            if ch == "}" and out and out[-1] == "\n":
                 out.pop()
-            up_kids.append(Group("".join(out), kids))
-            out, kids = up, up_kids
-            out.append(_ATOM[ch])
+            out.append(ch)
         elif what == "bc":
             if "\n" in m.group() and out and out[-1] in _ENDS:
                 out.append("\n")
         elif what == "num":
             t = m.group()
             if text[pos : pos + 1].isalnum() or text[pos : pos + 1] == "_":
-                raise Bad
+                return "".join(out) + ERROR
             if len(t) > 1 and t[0] == "0" and t.isdigit() and not set(t) <= set("01234567"):
-                raise Bad
+                return "".join(out) + ERROR
             if t[:2] in ("0x", "0X") and ("." in t and "p" not in t.lower() or len(t) == 2):
-                raise Bad
+                return "".join(out) + ERROR
             out.append("0")
         else:
             out.append("s" if what != "rune" else "0")
-    if stack:
-        raise Bad
-    return Group("".join(out), kids)
+    return "".join(out)
 
 
 BINARY = S.set("+ - * / % & | ^ << >> &^ && || == < > != <= >=")
@@ -380,10 +368,14 @@ class _Go(Cursor):
                 return
 
     # --- expressions --------------------------------------------------------------------------
-    def exprs(self, lit: bool = True):
+    def exprs(self, lit: bool = True) -> bool:
+        """Whether there are several."""
         self.expr(lit)
+        many = False
         while self.eat(","):
             self.expr(lit)
+            many = True
+        return many
 
     def expr(self, lit: bool = True):
         self.unary(lit)
@@ -502,14 +494,14 @@ class _Go(Cursor):
                 self.statement()
             if not self.eat(";"):
                 return
-            if self.c == "\0":
+            if self.c == "\0" or self.c in _CLAUSES:
                 return
 
     def simple(self, lit: bool = True, ranged: bool = False):
         start = self.i
         if ranged and self.eat(O["range"]):
             return self.expr(lit)
-        self.exprs(lit)
+        many = self.exprs(lit)
         c = self.c
         if c == O[":="]:
             if self.s[start : self.i].replace("n", "").replace(",", ""):
@@ -528,6 +520,8 @@ class _Go(Cursor):
         elif c == O["<-"]:
             self.i += 1
             self.expr(lit)
+        elif many:
+            raise Bad  # a list by itself
 
     def statement(self):
         c = self.c
@@ -613,7 +607,7 @@ class _Go(Cursor):
                 self.need(":")
         if self.c != "\0":
             self.k_stmt()
-            if self.c in (O["case"], O["default"]):
+            if self.c in _CLAUSES:
                 self.k_clause()
 
     def k_comm(self):
@@ -626,15 +620,10 @@ class _Go(Cursor):
                 self.need(":")
         if self.c != "\0":
             self.k_stmt()
+            if self.c in _CLAUSES:
+                self.k_comm()
 
 
+_CLAUSES = S.set("case default")
 _TYPE_STARTS = frozenset("n*PK") | S.set("map chan <- func struct interface")
 
-
-def is_valid(text: str, memory: dict) -> bool:
-    from plumbline.llm.grammar import validate
-
-    try:
-        return validate(lex(text), "file", parse, cut, memory)
-    except Bad:
-        return False

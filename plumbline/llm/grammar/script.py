@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from plumbline.llm.grammar import Bad, Cursor, Group, Symbols
+from plumbline.llm.grammar import ERROR, Bad, Cursor, Symbols
 
 #: Reserved words, contextual words and operators.
 RESERVED = (
@@ -42,40 +42,113 @@ _JSX_GAP = re.compile(r"(?:\s+|/\*(?:[^*]|\*(?!/))*\*/|//[^\r\n]*)*")
 _JSX_TEXT = re.compile(r"[^{}<>]*")
 _JSX_STRING = re.compile(r"\"[^\"]*\"|'[^']*'")
 _GENERIC = re.compile(r"<\s*(?:const\s+)?[A-Za-z_$][\w$]*\s*(?:,|extends\b)")
-_PAIR = {"(": ")", "[": "]", "{": "}"}
-_ATOM = {"(": "P", "[": "K", "{": "B"}
+OPENS = {"P": ")", "K": "]", "B": "}", "t": "}", "x": "}", "y": "}", "z": "}"}
+_OPEN = {"(": "P", "[": "K", "{": "B"}
 #: Symbols after which an operand has ended, so that / divides and < compares.
-_DONE = frozenset("n0srTtPKBJxyz#") | S.set("this super null true false ++ --") | _CONTEXT - S.set("await yield of as satisfies keyof infer is readonly")
+_DONE = frozenset("n0srT)]}JX#") | S.set("this super null true false ++ --") | _CONTEXT - S.set("await yield of as satisfies keyof infer is readonly")
 #: Symbols before which a line end can end a statement.
 _STARTS = frozenset("n0srTBJ#!~@") | _KEYWORDS | _CONTEXT | S.set("++ --")
 _MAY_END = _DONE | S.set("break continue return debugger throw yield ! > of as is readonly satisfies keyof infer await * =>") | frozenset(":")
+#: Words whose parentheses end no operand.
+_HEADS = S.set("if while for with")
+#: What stands before the brace of a statement's block (of an operand's braces, anything else).
+_BEFORE_BLOCK = frozenset(";}\n)B") | S.set("else do try finally =>")
+_SHEBANG = re.compile(r"#![^\r\n  ]*")
+_TYPE_ARGUMENTS = re.compile(r"<(?:[^<>{}()]|=>|<(?:[^<>{}()]|<[^<>{}()]*>)*>)*>")
+_FLAGS = frozenset("dgimsuvy")
+
+
+def _regex_fits(body: str, flags: str) -> bool:
+    """Groups balanced, nothing repeated that can't be."""
+    if len(set(flags)) < len(flags) or set(flags) - _FLAGS:
+        return False
+    depth, i, operand = 0, 0, False
+    while i < len(body):
+        c = body[i]
+        if c == "\\":
+            i += 2
+            operand = True
+            continue
+        if c == "[":
+            i += 1
+            while i < len(body) and body[i] != "]":
+                i += 2 if body[i] == "\\" else 1
+            operand = True
+        elif c == "(":
+            depth += 1
+            operand = False
+            m = _REGEX_GROUP.match(body, i)
+            if m:
+                i = m.end()
+                continue
+        elif c == ")":
+            depth -= 1
+            if depth < 0:
+                return False
+            operand = True
+        elif c in "*+?":
+            if not operand:
+                return False
+            if body[i + 1 : i + 2] == "?":
+                i += 1
+            operand = False
+        elif c == "{":
+            m = _REPEAT.match(body, i)
+            if m:
+                if not operand:
+                    return False
+                i = m.end() + (body[m.end() : m.end() + 1] == "?")
+                operand = False
+                continue
+            operand = True
+        else:
+            operand = c not in "|^"
+        i += 1
+    return depth == 0
+
+
+_REGEX_GROUP = re.compile(r"\((?:\?(?:[:=!]|<[=!]|<[A-Za-z_$][\w$]*>))")
+_REPEAT = re.compile(r"\{\d+(?:,\d*)?\}")
 
 
 class _Lexer:
+    """One pass with a stack of what is open: brackets, templates and elements."""
+
     def __init__(self, text: str, lang: str):
         self.t = text
         self.ts = lang in ("typescript", "tsx")
         self.jsx = lang in ("javascript", "tsx")
-
-    def run(self) -> Group:
-        start = 0
-        if self.t.startswith("﻿"):
-            start = 1
-        if self.t.startswith("#!", start):
-            m = re.compile(r"[^\r\n\u2028\u2029]*").match(self.t, start)
-            start = m.end()
-        g, pos = self.group(start, "")
-        return g
-
-    def group(self, pos: int, closer: str) -> tuple[Group, int]:
-        t, end, match, words, ops = self.t, len(self.t), _TOKEN.match, S.words, O
-        out: list[str] = []
-        kids: list[Group] = []
+        self.out: list[str] = []
+        #: (symbol, closing bracket, what stood before, more): more is whether a template is tagged, or an element's name.
+        self.stack: list[tuple] = []
+        #: Whether the bracket closed last ends an operand: True, False, or None where a line end decides.
+        self.closed: bool | None = True
+
+    def fail(self) -> str:
+        self.out.append(ERROR)
+        return "".join(self.out)
+
+    def operand_ended(self, newline: bool) -> bool:
+        out = self.out
+        if not out:
+            return False
+        prev = out[-1]
+        if prev == ")" or prev == "}":
+            return not newline if self.closed is None else self.closed
+        return prev in _DONE
+
+    def run(self) -> str:
+        t, out, stack = self.t, self.out, self.stack
+        match, words, ops = _TOKEN.match, S.words, O
+        pos, end = 1 if t.startswith("﻿") else 0, len(t)
+        m = _SHEBANG.match(t, pos)
+        if m:
+            pos = m.end()
         newline = False
         while pos < end:
             m = match(t, pos)
             if m is None:
-                raise Bad(pos)
+                return self.fail()
             what = m.lastgroup
             if what == "ws" or what == "lc":
                 pos = m.end()
@@ -89,23 +162,20 @@ class _Lexer:
                     newline = True
                 continue
             prev = out[-1] if out else ""
+            element = False
             if what == "id":
                 pos = m.end()
                 # after a dot every word is a name
                 ch = "n" if prev in (".", ops["?."]) else words.get(m.group(), "n")
             elif what == "op":
                 ch = m.group()
-                if ch[0] == "/" and prev not in _DONE:
+                if ch[0] == "/" and not self.operand_ended(newline):
                     r = _REGEX.match(t, pos)
-                    if r is None or len(set(r.group(1))) < len(r.group(1)) or set(r.group(1)) - set("dgimsuvy"):
-                        raise Bad(pos)
+                    if r is None or not _regex_fits(r.group()[1 : -1 - len(r.group(1))], r.group(1)):
+                        return self.fail()
                     ch, pos = "r", r.end()
-                elif ch == "<" and self.jsx and prev not in _DONE and not (self.ts and _GENERIC.match(t, pos)):
-                    if newline and out and prev in _MAY_END:
-                        out.append("\n")
-                    newline = False
-                    pos = self.element(pos, out, kids)
-                    continue
+                elif ch == "<" and self.jsx and not self.operand_ended(newline) and not (self.ts and _GENERIC.match(t, pos)):
+                    ch, element = "J", True
                 elif ch[0] == ">" and self.ts and len(ch) > 1:
                     # in types >> and >= are closing brackets; productions join them again
                     ch, pos = ">", pos + 1
@@ -113,120 +183,171 @@ class _Lexer:
                     pos = m.end()
                     ch = ops[ch]
             elif what == "open":
-                ch = m.group()
-                g, pos = self.group(pos + 1, _PAIR[ch])
-                kids.append(g)
-                ch = _ATOM[ch]
+                ch = _OPEN[m.group()]
+                pos = m.end()
             elif what == "close":
-                if m.group() != closer:
-                    raise Bad(pos)
-                return Group("".join(out), kids), pos + 1
+                ch = m.group()
+                pos = m.end()
+                newline = False
+                out.append(ch)
+                if not stack or stack[-1][1] != ch:
+                    return "".join(out)  # the windows reject it
+                top = stack.pop()
+                self.closed = self.ends_operand(top)
+                if top[0] == "t":
+                    pos = self.template(pos)
+                elif top[0] in "xyz":
+                    pos = self.element(pos)
+                if pos < 0:
+                    return self.fail()
+                continue
             elif what == "num":
                 pos = m.end()
                 if pos < end and (t[pos].isalnum() or t[pos] in "_$\\"):
-                    raise Bad(pos)
+                    return self.fail()
                 ch = "0"
             elif what == "str":
                 pos, ch = m.end(), "s"
             elif what == "hash":
                 pos, ch = m.end(), "#"
-            else:  # a template
-                if newline and prev in _MAY_END:
-                    pass
+            else:  # a template; a line end before it doesn't end a statement
+                tagged = self.operand_ended(newline)
                 newline = False
                 out.append("T")
-                tagged = prev in _DONE
-                pos += 1
-                while True:
-                    pos = (_TAGGED if tagged else _TEMPLATE).match(t, pos).end()
-                    if t.startswith("`", pos):
-                        pos += 1
-                        break
-                    if not t.startswith("${", pos):
-                        raise Bad(pos)
-                    g, pos = self.group(pos + 2, "}")
-                    out.append("t")
-                    kids.append(g)
+                stack.append(("T", "", prev, tagged))
+                pos = self.template(pos + 1)
+                if pos < 0:
+                    return self.fail()
                 continue
             if newline:
                 if prev in _MAY_END and ch in _STARTS:
                     out.append("\n")
                 newline = False
             out.append(ch)
-        if closer:
-            raise Bad(pos)
-        return Group("".join(out), kids), pos
-
-    def element(self, pos: int, out: list, kids: list) -> int:
-        """A JSX element as J followed by x (child), y (attribute) and z (spread) groups."""
-        t = self.t
-        out.append("J")
-        return self._element(pos, out, kids)
-
-    def _braces(self, pos: int, out: list, kids: list, kind: str) -> int:
-        g, pos = self.group(pos + 1, "}")
-        out.append(kind)
-        kids.append(g)
-        return pos
+            if element:
+                pos = self.element(self.open_tag(pos))
+                if pos < 0:
+                    return self.fail()
+            elif ch in OPENS:
+                stack.append((ch, OPENS[ch], prev, self.closed))
+        if stack and stack[-1][0] in ("T", "tag", "kids"):
+            return self.fail()
+        return "".join(out)
+
+    def ends_operand(self, top: tuple):
+        ch, _, before, closed = top
+        if ch == "P":
+            return before not in _HEADS
+        if ch == "B":
+            if before == ")":
+                # a block after a head; the body of a function, unless the line goes on
+                return None if closed is not False else False
+            if before == "" or before in _BEFORE_BLOCK:
+                return None if before == O["=>"] else False
+            return None if before == "n" else True
+        return True
 
-    def _element(self, pos: int, out: list, kids: list) -> int:
+    def template(self, pos: int) -> int:
+        """Reads on in a template up to its end or the next group; -1 if it has no end."""
+        while True:
+            pos = (_TAGGED if self.stack[-1][3] else _TEMPLATE).match(self.t, pos).end()
+            if self.t.startswith("`", pos):
+                self.stack.pop()
+                return pos + 1
+            if not self.t.startswith("${", pos):
+                return -1
+            self.out.append("t")
+            self.stack.append(("t", "}", "", None))
+            return pos + 2
+
+    def open_tag(self, pos: int) -> int:
+        """Reads the name of an element whose ``<`` is at pos."""
         t = self.t
         pos = _JSX_GAP.match(t, pos + 1).end()
         m = _JSX_NAME.match(t, pos)
         name = m.group() if m else ""
         if m:
             pos = m.end()
+            if self.ts:
+                m = _TYPE_ARGUMENTS.match(t, pos)
+                if m:
+                    pos = m.end()
+        self.stack.append(("tag", "", "", name))
+        return pos
+
+    def element(self, pos: int) -> int:
+        """Reads on in an element's attributes or children up to the next group or its end; -1 if it doesn't fit."""
+        t, stack = self.t, self.stack
         while True:
-            pos = _JSX_GAP.match(t, pos).end()
-            if t.startswith("/", pos):
-                pos = _JSX_GAP.match(t, pos + 1).end()
-                if not name or not t.startswith(">", pos):
-                    raise Bad(pos)
-                return pos + 1
-            if t.startswith(">", pos):
-                pos += 1
-                break
-            if not name:
-                raise Bad(pos)
-            if t.startswith("{", pos):
-                pos = self._braces(pos, out, kids, "z")
-                continue
-            m = _JSX_ATTR.match(t, pos)
-            if m is None:
-                raise Bad(pos)
-            pos = _JSX_GAP.match(t, m.end()).end()
-            if t.startswith("=", pos):
-                pos = _JSX_GAP.match(t, pos + 1).end()
+            what, name = stack[-1][0], stack[-1][3]
+            if what == "tag":
+                pos = _JSX_GAP.match(t, pos).end()
+                if t.startswith("/", pos):
+                    pos = _JSX_GAP.match(t, pos + 1).end()
+                    if not name or not t.startswith(">", pos):
+                        return -1
+                    pos += 1
+                    stack.pop()
+                    if not stack or stack[-1][0] not in ("tag", "kids"):
+                        return self.leave(pos)
+                    continue
+                if t.startswith(">", pos):
+                    stack[-1] = ("kids", "", "", name)
+                    pos += 1
+                    continue
+                if not name:
+                    return -1
                 if t.startswith("{", pos):
-                    pos = self._braces(pos, out, kids, "y")
-                elif t.startswith("<", pos):
-                    pos = self._element(pos, out, kids)
-                else:
+                    return self.braces(pos, "z")
+                m = _JSX_ATTR.match(t, pos)
+                if m is None:
+                    return -1
+                pos = _JSX_GAP.match(t, m.end()).end()
+                if t.startswith("=", pos):
+                    pos = _JSX_GAP.match(t, pos + 1).end()
+                    if t.startswith("{", pos):
+                        return self.braces(pos, "y")
+                    if t.startswith("<", pos):
+                        pos = self.open_tag(pos)
+                        continue
                     m = _JSX_STRING.match(t, pos)
                     if m is None:
-                        raise Bad(pos)
+                        return -1
                     pos = m.end()
-        while True:
+                continue
             pos = _JSX_TEXT.match(t, pos).end()
             if t.startswith("{", pos):
-                pos = self._braces(pos, out, kids, "x")
-            elif t.startswith("<", pos):
-                inner = _JSX_GAP.match(t, pos + 1).end()
-                if t.startswith("/", inner):
-                    inner = _JSX_GAP.match(t, inner + 1).end()
-                    m = _JSX_NAME.match(t, inner)
-                    if (m.group() if m else "") != name:
-                        raise Bad(pos)
-                    inner = _JSX_GAP.match(t, m.end() if m else inner).end()
-                    if not t.startswith(">", inner):
-                        raise Bad(pos)
-                    return inner + 1
-                pos = self._element(pos, out, kids)
-            else:
-                raise Bad(pos)
+                return self.braces(pos, "x")
+            if not t.startswith("<", pos):
+                return -1
+            inner = _JSX_GAP.match(t, pos + 1).end()
+            if t.startswith("/", inner):
+                inner = _JSX_GAP.match(t, inner + 1).end()
+                m = _JSX_NAME.match(t, inner)
+                if (m.group() if m else "") != name:
+                    return -1
+                pos = _JSX_GAP.match(t, m.end() if m else inner).end()
+                if not t.startswith(">", pos):
+                    return -1
+                pos += 1
+                stack.pop()
+                if not stack or stack[-1][0] not in ("tag", "kids"):
+                    return self.leave(pos)
+                continue
+            pos = self.open_tag(pos)
 
+    def leave(self, pos: int) -> int:
+        self.out.append("X")
+        return pos
+
+    def braces(self, pos: int, kind: str) -> int:
+        self.out.append(kind)
+        self.stack.append((kind, "}", "", None))
+        return pos + 1
 
-def lex(text: str, lang: str) -> Group:
+
+def lex(text: str, lang: str) -> str:
+    """The token classes of a file: J and X around an element, T before the groups of a template."""
     return _Lexer(text, lang).run()
 
 
@@ -476,9 +597,7 @@ class _Script(Cursor):
 
     def for_(self):
         self.i += 1
-        if self.got(O["await"]):
-            pass
-        self.sub("P", "forhead")
+        self.sub("P", "awaithead" if self.got(O["await"]) else "forhead")
         self.statement()
 
     def k_cond(self):
@@ -501,7 +620,10 @@ class _Script(Cursor):
         if self.after() != "\0":
             self.expression()
 
-    def for_each(self):
+    def k_awaithead(self):
+        self.for_each(True)
+
+    def for_each(self, awaits: bool = False):
         if self.c in (O["var"], O["const"], O["let"]) and self.peek() in (_NAMES | {"B", "K"}) and not (self.c == O["let"] and self.peek() == O["of"]):
             self.i += 1
             self.binding()
@@ -512,6 +634,8 @@ class _Script(Cursor):
                 raise Bad
         if self.got(O["of"]):
             self.assign()
+        elif awaits:
+            raise Bad
         else:
             self.want(O["in"])
             self.expression()
@@ -520,7 +644,14 @@ class _Script(Cursor):
             raise Bad
 
     def unary_is_target(self) -> bool:
-        return self.unary() in ("ref", "group")
+        kind = self.unary()
+        self.pattern(kind)
+        return kind in ("ref", "group", "object", "array")
+
+    def pattern(self, kind: str) -> None:
+        """What was read last as an object or array is assigned to."""
+        if kind in ("object", "array"):
+            self.kinds[self.i - 1] = "assigned" + kind
 
     def return_(self):
         self.i += 1
@@ -979,6 +1110,7 @@ class _Script(Cursor):
         if c == "=":
             if kind not in ("ref", "object", "array", "group"):
                 raise Bad
+            self.pattern(kind)
             self.skip()
             self.i += 1
             self.assign()
@@ -993,6 +1125,19 @@ class _Script(Cursor):
                 pass
             self.i += 1
             self.assign()
+        elif self.covers:
+            self.pattern(kind)
+
+    #: Whether the objects of this group are assigned to.
+    covers = False
+
+    def k_assignedobject(self):
+        self.covers = True
+        self.k_object()
+
+    def k_assignedarray(self):
+        self.covers = True
+        self.k_array()
 
     def arrow(self) -> bool:
         i = self.i
@@ -1215,6 +1360,7 @@ class _Script(Cursor):
             self.i += 1
             while self.c in "xyz" and self.c != "\0":
                 self.group(self.c, {"x": "jsxchild", "y": "cond", "z": "spread"}[self.c])
+            self.need("X")
             return "value"
         if c == O["function"]:
             self.function(False)
@@ -1337,6 +1483,8 @@ class _Script(Cursor):
         if c not in _NAMES:
             raise Bad
         if self.got("="):
+            if not self.covers:
+                raise Bad
             self.assign()
 
     # --- types --------------------------------------------------------------------------------
@@ -1582,11 +1730,3 @@ _STATEMENT = {
     O["function"]: _Script.function, O["class"]: _Script.class_,
 }
 
-
-def is_valid(text: str, lang: str, memory: dict) -> bool:
-    from plumbline.llm.grammar import validate
-
-    try:
-        return validate(lex(text, lang), "file", lambda s, k: parse(s, k, lang), cut, memory)
-    except (Bad, RecursionError):
-        return False
