@@ -43,30 +43,36 @@ MINIFIED_NAMES = r"(?:[.-](?:min|bundle|prod)\.(?:m|c)?jsx?|/chunk-[0-9a-z]+\.(?
 SURE_NAMES = r"(?:_pb2(?:_grpc)?\.pyi?|\.pb(?:\.gw)?\.go|(?:^|/)zz_generated[^/]*|[.-]min\.(?:m|c)?js|\.bundle\.js|/__generated__/[^/]*)$"
 
 _I = re.IGNORECASE
+#: What a claim is about: the file itself, as the subject of a sentence or left out before a participle.
+_SELF = r"^\W*(?:(?:please\s+note\W+|note\W+|warning\W+|attention\W+|achtung\W+)?(?:this|the|these|all|diese[rs]?|dieses|ce|cette|este|esta|questo)?\s*(?:is\s+an?\s+|whole\s+|entire\s+|source\s+)?(?:file|code|source|module|script|document|package|class(?:es)?|bindings?|parser|content|datei|quelltext|fichier|archivo|fichero|arquivo|file|código|code)s?\b(?:\s+(?:is|was|has|have|been|were|are|that|which|follows?|below|here|wurde|wird|ist|a|été|est|fue|es|foi|è|stato|von\s+\S+))*\s+|(?:this|the\s+following)\s+(?:is|was)\s+)?"
+_HOW = r"(?:(?:fully\s+|entirely\s+)?(?:auto(?:matically|matisch|matiquement|máticamente|maticamente)?|machine|maschinell|programmatically)[-\s]*)?"
 _GENERATED = re.compile(
-    r"""@generated\b | <auto-?generated\b | \bauto-?matically\s+(?:generated|created|produced) | \bauto-?generated\b(?!\s+(?:method|function|constructor|catch|stub|type))
-    | \bmachine[- ](?:generated|made|written) | \b(?:code|file|source|module|script|document|class(?:es)?|bindings?|parser)\s+(?:is\s+|was\s+|has\s+been\s+)?(?:generated|produced|emitted)\b
-    | ^\W*(?:generated|produced|emitted|built|compiled|transpiled)\s+(?:by|from|with|using|via|on)\b | \bgenerated\s+(?:by|from|with|using|code|file|source)\b
-    | \b(?:do\s+not|don'?t|never|please\s+do\s+not)\s+(?:edit|modify|change|touch|alter)\b(?!\s+(?:the|without|unless|order)) | \b(?:changes?|edits?|modifications?)\b.{0,40}\b(?:lost|overwritten|discarded)
-    | \b(?:wurde|automatisch|maschinell)\b.{0,60}\b(?:erzeugt|generiert|erstellt)\b | \bnicht\s+(?:bearbeiten|ändern|editieren) | \bne\s+pas\s+(?:modifier|éditer) | \bno\s+(?:editar|modificar)\b
-    | \b(?:généré|generado|generato|gerado)\b.{0,30}\b(?:par|por|da|automat\w*) | 自动生成 | 自動生成 | 请勿(?:修改|编辑)""",
+    rf"""@generated\b | <auto-?generated\b
+    | {_SELF}{_HOW}(?:generated|produced|emitted|compiled|transpiled|rendered|erzeugt|generiert|généré|generado|generato|gerado)\b(?!\s+(?:method|function|constructor|catch|stub|type|files?\s+are|code\s+is|rows?|values?|ids?|tokens?|names?|keys?|output))
+    | {_SELF}(?:auto-?|machine[-\s])(?:generated|created|made|written|built)\b(?!\s+(?:method|function|constructor|catch|stub|type))
+    | {_SELF}(?:created|made|written|built|erstellt|geschrieben|créé|creado|creato|criado)\s+(?:auto\w*|maschinell|by\s+(?:a\s+|the\s+)?(?:tool|program|script|generator|compiler)\b|by\s+\S*(?:gen|\.\w+|protoc\S*|c)\b|(?:durch|von)\s+(?:das|dem|den|der|die|einem|ein)?\s*(?:werkzeug|programm|skript|generator)|(?:par|por|da)\s+\S+)
+    | {_SELF}(?:automatisch|maschinell|automatically|von\s+\S+)\s+(?:\S+\s+)?(?:created|produced|written|built|erstellt|erzeugt|generiert)\b
+    | ^\W*output\s+of\s+\S+[./]\S+ | \bregenerate\s+(?:it\s+)?instead\b
+    | \b(?:do\s+not|don'?t|never)\s+(?:hand[-\s]?)?(?:edit|modify|change|touch|alter)\b(?!\s+(?:the|a|an|any|it\s+while|without|unless|order)\b) | \b(?:changes?|edits?|modifications?)\b.{{0,40}}\b(?:lost|overwritten|discarded)
+    | \bnicht\s+(?:bearbeiten|ändern|editieren) | \bne\s+pas\s+(?:modifier|éditer) | \bno\s+(?:editar|modificar)\b | \bnon\s+modificare\b | 自动生成 | 自動生成 | 请勿(?:修改|编辑)""",
     re.X | _I,
 )
 _VENDORED = re.compile(
-    r"""\b(?:vendored|imported|copied|taken|lifted|bundled|borrowed|forked|mirrored)\s+(?:verbatim\s+|unmodified\s+|unchanged\s+|as[- ]is\s+|directly\s+)?(?:from|copy|in|at)\b
-    | \bthird[- ]party\s+(?:copy|code|source|file|library|component) | \b(?:included|bundled|shipped|distributed|reproduced)\s+(?:here\s+|hereby\s+)?(?:unmodified|unchanged|verbatim|as[- ]is)\b
-    | \bcopy\s+of\s+\S+.{0,60}\b(?:upstream|release|version|commit|v?\d+\.\d+)\b | \bkeep\s+in\s+(?:step|sync)\s+with\s+upstream | \bupstream\s+(?:commit|version|revision|release|tag)\b
-    | \bverbatim\s+(?:from|copy)\b | \bdo\s+not\s+(?:patch|fix|edit)\s+(?:locally|here)\b""",
+    rf"""{_SELF}(?:vendored|imported|copied|taken|lifted|bundled|borrowed|forked|mirrored)\s+(?:verbatim\s+|unmodified\s+|unchanged\s+|as[- ]is\s+|directly\s+)?(?:from|copy|in|at)\b
+    | {_SELF}(?:a\s+)?(?:bundled\s+|vendored\s+)?third[-\s]party\s+(?:copy|code|source|file|library|component) | \b(?:included|bundled|shipped|distributed|reproduced)\s+(?:here\s+|hereby\s+)?(?:unmodified|unchanged|verbatim|as[-\s]is)\b
+    | {_SELF}(?:an?\s+|the\s+)?(?:bundled\s+|vendored\s+)?copy\s+of\s+\S+.{{0,60}}\b(?:upstream|release|version|commit|v?\d+\.\d+)\b | \bkeep\s+in\s+(?:step|sync)\s+with\s+upstream | \bupstream\s+(?:commit|version|revision|release|tag)\b
+    | \bdo\s+not\s+(?:patch|fix|edit)\s+(?:locally|here)\b""",
     re.X | _I,
 )
-#: The file is written by hand now, or speaks of other files.
+#: The file is written by hand now: takes back what other lines claim.
 _OWN = re.compile(
     r"""\b(?:originally|once|formerly|initially|previously)\s+(?:auto-?matically\s+)?(?:auto-?)?(?:generated|vendored|copied|imported|forked|derived|taken|bundled|minified)\b
     | \b(?:maintained|edited|written|kept|rewritten|changed|modified|reworked|tweaked)\s+(?:here\s+)?(?:by\s+hand|manually|since|locally) | \brewritten\b | \bedit\s+freely\b | \bfeel\s+free\s+to\s+edit
-    | \bno\s+longer\s+(?:generated|vendored|in\s+sync) | \bnot\s+(?:generated|auto-?generated|vendored|minified)\b | \b(?:hand[- ]?(?:written|edited|maintained|crafted))\b | \bordinary\s+(?:code|source|module)
-    | ^\W*(?:writes?|emits?|prints?|produces?|generates?|creates?|adds?|inserts?|checks?|detects?|skips?|finds?|parses?|reads?|strips?|removes?)\b | \b(?:method|function|constructor)\s+stub\b""",
+    | \bno\s+longer\s+(?:generated|vendored|in\s+sync) | \bnot\s+(?:generated|auto-?generated|vendored|minified)\b | \bhand[-\s]?(?:written|edited|maintained|crafted)\b | \bordinary\s+(?:code|source|module)""",
     re.X | _I,
 )
+#: The line speaks of other files: what the module does, at its beginning.
+_DOES = re.compile(r"^\W*(?:writes?|emits?|prints?|produces|generates?|creates?|adds?|inserts?|checks?|detects?|skips?|finds?|parses?|reads?|strips?|removes?)\b | \b(?:method|function|constructor)\s+stub\b", re.X | _I)
 #: An origin without a claim: counts only together with containment.
 _WEAK = re.compile(r"\bv?\d+\.\d+\.\d+\b|\bupstream\b|https?://\S+/\S+|\(c\)\s+the\b|\bbased\s+on\b", _I)
 _QUOTED = re.compile(r"\"[^\"\n]*\"|'[^'\n]*'|`[^`\n]*`|[“”„«][^“”»\n]*[“”»]")
@@ -125,6 +131,8 @@ def judge_header(lines: list[str]) -> str:
         bare = _QUOTED.sub(" ", line) if not line.startswith("<") else line
         if _OWN.search(bare):
             return ""
+        if _DOES.search(bare):
+            continue
         if not kind and _GENERATED.search(bare):
             kind = "generated"
         elif not kind and _VENDORED.search(bare):
@@ -166,7 +174,9 @@ def composition(text: str) -> Composition:
         solid = len(code) - sum(map(len, _GAPS.findall(code)))
         if chars > 0.75 * solid:
             names = len(_NAME.findall(_LITERAL.sub(" ", code)))
-            data = len(found) >= 20 and names <= 0.25 * len(found) or max(map(len, found), default=0) >= 400 and names <= 12
+            # a long literal is data if it is neither prose nor an address
+            blob = max((len(x) for x in found if " " not in x and "://" not in x), default=0)
+            data = len(found) >= 20 and names <= 0.25 * len(found) or blob >= 400 and names <= 12
     if not data and not _SYNTAX.search(text):
         rows = [x for x in lines if x.strip()]
         commas, tabs = {x.count(",") for x in rows}, {x.count("\t") for x in rows}
@@ -244,14 +254,20 @@ def file_evidence(files: DataFrame, documents: DataFrame) -> DataFrame:
     )
 
 
-def vendored_containment(evidence: DataFrame, documents: DataFrame, min_line: int = 16) -> DataFrame:
-    """(file_id, lines, contained): exact containment of each file's lines in marked third-party files of other
-    repositories.
+def third_party_paths(files: DataFrame) -> DataFrame:
+    """(file_id, repo, marked): whether the latest path of each file lies in a directory for third-party code."""
+    return latest_files(files, "id", "path").select(
+        F.col("id").alias("file_id"), F.substring_index("path", "/", 1).alias("repo"), F.coalesce(F.lower("path").rlike(THIRD_PARTY_DIRS), F.lit(False)).alias("marked")
+    )
+
+
+def vendored_containment(marked: DataFrame, documents: DataFrame, min_line: int = 16) -> DataFrame:
+    """(file_id, lines, contained): exact containment of each file's lines in the marked files of other repositories.
 
-    A line counts without white space around it and once per file; short lines don't count.  However many files a
-    line is in, it counts: a project that is copied into a great many places has no other ones.
+    ``marked`` has (file_id, repo, marked).  A line counts without white space around it and once per file; short lines
+    don't count, and files without a line that counts have no row.  However many files a line is in, it counts: a project that is
+    copied into a great many places has no other ones.  Null texts, ids and repositories have no containment.
     """
-    marked = evidence.select("file_id", "repo", (F.col("third_party") | (F.col("header") == "vendored")).alias("marked"))
     lines = (
         documents.where("file_id IS NOT NULL AND text IS NOT NULL")
         .select("file_id", F.explode(F.split("text", "[\r\n]")).alias("line"))
@@ -259,7 +275,7 @@ def vendored_containment(evidence: DataFrame, documents: DataFrame, min_line: in
         .where(F.length("line") >= min_line)
         .select("file_id", F.xxhash64("line").alias("h"))
         .distinct()
-        .join(marked.hint("merge"), "file_id")  # grows with the files; its staged size would deceive
+        .join(marked.select("file_id", "repo", "marked").hint("merge"), "file_id")  # grows with the files; its staged size would deceive
     )
     lines = stage(lines, "lines")
     index = lines.where("marked").groupBy("h").agg(F.min("repo").alias("r0"), F.max("repo").alias("r1"))
@@ -276,7 +292,7 @@ def not_hand_written(files: DataFrame, documents: DataFrame, min_contained: floa
     reason: third-party, generated, vendored, minified, data, repeated or contained.  Empty tables give no rows.
     """
     evidence = stage(file_evidence(files, documents), "evidence")
-    copies = vendored_containment(evidence, documents)
+    copies = vendored_containment(evidence.select("file_id", "repo", (F.col("third_party") | (F.col("header") == "vendored")).alias("marked")), documents)
     weak = evidence.where("header = 'weak'").join(copies, "file_id", "left")
     contained = weak.where((F.col("contained") >= min_contained) & (F.col("lines") >= min_lines)).select("file_id", F.lit("contained").alias("reason"))
     reason = (

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.docpairs import code_pairs, informative_ids, lexed_pairs
 from plumbline.llm.mixing import mix_sources
-from plumbline.llm.provenance import not_hand_written
+from plumbline.llm.provenance import THIRD_PARTY_DIRS, not_hand_written, third_party_paths, vendored_containment
 from plumbline.llm.spans import shared_portion, shared_spans
 from plumbline.llm.syntax import invalid_files, invalid_rates
 from plumbline.llm.tokenizer import encode_corpus, token_sizes
@@ -23,6 +23,11 @@ def p1_reasons(spark, d):
     return not_hand_written(load(spark, d, "files"), load(spark, d, "documents"))
 
 
+def p1_containment(spark, d):
+    """How much of each file lies in third-party directories of other repositories, whatever its header says."""
+    return vendored_containment(third_party_paths(load(spark, d, "files")), load(spark, d, "documents")).withColumn("contained", F.round("contained", 9))
+
+
 def p2_found(spark, d):
     return top_n_per_group(load(spark, d, "symbols"), "file_id", "id", "rank", 3).withColumnRenamed("id", "symbol_id")
 
@@ -76,6 +81,7 @@ def p8_portion(spark, d):
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
+    "p1_containment": p1_containment,
     "p2_found": p2_found,
     "p3_found": p3_found,
     "p3_rates": p3_rates,
@@ -90,6 +96,14 @@ QUERIES = {
 }
 
 ORACLES = {
+    "p1_containment": f"""
+        WITH f AS (SELECT id AS file_id, split_part(path, '/', 1) AS repo, coalesce(regexp_matches(lower(path), '{THIRD_PARTY_DIRS}'), false) AS marked
+                FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, sha256 DESC) AS k FROM files) WHERE k = 1),
+            t AS (SELECT DISTINCT file_id, line FROM (SELECT file_id, trim(unnest(string_split_regex(text, '[\r\n]')), chr(32) || chr(9) || chr(12) || chr(11) || chr(65279)) AS line
+                FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL) WHERE length(line) >= 16),
+            l AS (SELECT file_id, line, repo, marked FROM t JOIN f USING (file_id)),
+            x AS (SELECT line, min(repo) AS r0, max(repo) AS r1 FROM l WHERE marked GROUP BY line)
+        SELECT file_id, count(*) AS lines, round(avg(CASE WHEN r0 <> repo OR r1 <> repo THEN 1.0 ELSE 0.0 END), 9) AS contained FROM l LEFT JOIN x USING (line) GROUP BY file_id""",
     "p2_found": """
         SELECT file_id, id AS symbol_id FROM (
             SELECT file_id, id, row_number() OVER (PARTITION BY file_id ORDER BY
