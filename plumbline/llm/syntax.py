@@ -35,6 +35,10 @@ OPENS = {**pylang.OPENS, **golang.OPENS, **script.OPENS}
 _PIECE = re.compile(f"[^{re.escape(''.join(OPENS) + CLOSES)}]*[{re.escape(''.join(OPENS) + CLOSES + END)}]")
 
 
+#: A text's first piece begins with its language, as a character from here on that no token class has.
+_LANGUAGE = 0xF00
+
+
 def lex(text: str, lang: str) -> str:
     """One character for each token class of a text."""
     if lang == "python":
@@ -73,7 +77,7 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 batch.column(batch.schema.get_field_index("file_id")),
                 batch.column(batch.schema.get_field_index("lang")),
                 pa.ListArray.from_arrays(pa.array(sizes), pa.array(tokens)),
-                pa.array([_PIECE.findall(s, 1) for s in flat], pa.list_(pa.string())),
+                pa.array([_PIECE.findall(chr(_LANGUAGE + LANGUAGES.index(x)) + s[1:]) for s, x in zip(flat, lang)], pa.list_(pa.string())),
             ],
             ["file_id", "lang", "tokens", "pieces"],
         )
@@ -82,7 +86,8 @@ def _lex(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def lexed_files(documents: DataFrame) -> DataFrame:
     """(doc, file_id, lang, tokens, pieces) of every non-null source text in one of :data:`LANGUAGES`, as a staged table.
 
-    tokens: the classes, from :data:`START` to :data:`END`; pieces: the same cut after each bracket.
+    tokens: the classes, from :data:`START` to :data:`END`; pieces: the same cut after each bracket, with the language in
+    place of the start.
     """
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull() & F.col("lang").isin(*LANGUAGES)).select("file_id", "lang", "text")
     lexed = spread(texts).mapInArrow(_lex, "file_id bigint, lang string, tokens array<int>, pieces array<string>")
@@ -101,10 +106,11 @@ def impossible_pairs(lexed: DataFrame) -> DataFrame:
 
 
 def bracket_groups(lexed: DataFrame) -> DataFrame:
-    """(doc, file_id, lang, depth, at, symbols, fits) of every bracket group: ``at`` orders the groups of a text by their
+    """(doc, file_id, depth, nth, at, symbols, fits) of every bracket group: ``at`` orders the groups of a text by their
     openings, ``symbols`` has the opening of each group inside it, ``fits`` is false where a bracket ends what it didn't begin.
     """
-    rows = lexed.select("doc", "file_id", "lang", F.posexplode("pieces").alias("at", "piece")).withColumn("edge", F.right("piece", F.lit(1)))
+    # by text before anything is derived, so that only what can't be derived is shuffled
+    rows = lexed.select("doc", "file_id", F.posexplode("pieces").alias("at", "piece")).repartition("doc").withColumn("edge", F.right("piece", F.lit(1)))
     opens = F.col("edge").isin(*OPENS)
     closes = F.col("edge").isin(*CLOSES)
     step = F.when(opens, 1).when(closes, -1).otherwise(0)
@@ -120,7 +126,6 @@ def bracket_groups(lexed: DataFrame) -> DataFrame:
     own = F.when(opens, F.col("piece")).otherwise(F.expr("left(piece, length(piece) - 1)"))
     return rows.groupBy("doc", "depth", "nth").agg(
         F.min("file_id").alias("file_id"),
-        F.min("lang").alias("lang"),
         F.min("at").alias("at"),
         F.array_join(F.sort_array(F.collect_list(F.struct("at", own.alias("own"))))["own"], "").alias("symbols"),
         F.min((F.col("depth") >= 0) & (opens | (F.col("edge") == ends))).alias("fits"),
@@ -133,14 +138,18 @@ _memories: dict[str, dict] = {}
 def _validate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     sys.setrecursionlimit(max(sys.getrecursionlimit(), 20_000))
     for batch in batches:
-        lang, groups = (batch.column(batch.schema.get_field_index(c)) for c in ("lang", "groups"))
+        groups = batch.column(batch.schema.get_field_index("groups"))
         depth, symbols = groups.flatten().field("depth").to_pylist(), groups.flatten().field("symbols").to_pylist()
         bounds = groups.offsets.to_pylist()
         shift = bounds[0]
         kept = []
-        for x, a, b in zip(lang.to_pylist(), bounds, bounds[1:]):
+        for a, b in zip(bounds, bounds[1:]):
             a, b = a - shift, b - shift
-            kept.append(a == b or not productions_hold(list(zip(depth[a:b], symbols[a:b])), x, _memories.setdefault(x, {})))
+            if a == b:
+                kept.append(True)
+                continue
+            lang, symbols[a] = LANGUAGES[ord(symbols[a][0]) - _LANGUAGE], symbols[a][1:]
+            kept.append(not productions_hold(list(zip(depth[a:b], symbols[a:b])), lang, _memories.setdefault(lang, {})))
         yield batch.select(["file_id"]).filter(pa.array(kept, pa.bool_()))
 
 
@@ -153,10 +162,10 @@ def invalid_files(documents: DataFrame) -> DataFrame:
     """
     lexed = lexed_files(documents)
     texts = bracket_groups(lexed).groupBy("doc").agg(
-        F.min("file_id").alias("file_id"), F.min("lang").alias("lang"), F.min("fits").alias("fits"), F.sort_array(F.collect_list(F.struct("at", "depth", "symbols"))).alias("groups")
+        F.min("file_id").alias("file_id"), F.min("fits").alias("fits"), F.sort_array(F.collect_list(F.struct("at", "depth", "symbols"))).alias("groups")
     )
     # one pass for both: the groups of a text whose brackets don't fit aren't parsed
-    wrong = texts.select("file_id", "lang", F.when(F.col("fits"), F.col("groups")).alias("groups")).mapInArrow(_validate, "file_id bigint")
+    wrong = texts.select("file_id", F.when(F.col("fits"), F.col("groups")).alias("groups")).mapInArrow(_validate, "file_id bigint")
     return impossible_pairs(lexed).select("file_id").unionByName(wrong).distinct()
 
 
