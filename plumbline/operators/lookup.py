@@ -82,5 +82,6 @@ def symbol_source(symbols: DataFrame, texts: DataFrame, context: int = 0) -> Dat
     """
     first = F.greatest(F.lit(1), F.col("start_line") - context)
     size = F.greatest(F.lit(0), F.col("end_line") + context - first + 1)
-    lines = F.slice(F.split("text", "\n"), first, size)
-    return symbols.join(texts, "file_id", "left").select("id", F.array_join(lines, "\n").alias("source"))
+    # lines are split before the join: a file's text is split once, not once for each of its symbols
+    split = texts.select("file_id", F.split("text", "\n").alias("lines"))
+    return symbols.select("id", "file_id", "start_line", "end_line").join(split, "file_id", "left").select("id", F.array_join(F.slice("lines", first, size), "\n").alias("source"))

@@ -10,16 +10,16 @@ from plumbline.session import stage
 FLOOR = 1.0e-6
 
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7) -> DataFrame:
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7, stage_every: int = 5) -> DataFrame:
     """(id, score) of every node of ``nodes(id)``; ``edges`` has src, dst, weight.
 
     Loops and edges from or to other nodes don't count, parallel edges add up, weights have a floor (null
     weights too).  The mass of nodes without edges out is spread over all.  Stops when the sum of changes falls below
     ``tolerance``; 0 runs all rounds.
 
-    Links are kept partitioned by source and nodes by id, so a round shuffles one row per node and
-    partition, the partial sums.  Every round is staged: the scores are read twice in the next one, and a plan of
-    several rounds would double with each.
+    Links are kept partitioned by source and scores by id, so a round shuffles one row per node and partition, the
+    partial sums, and is one job: it gives the change and the mass of the loose nodes too.  Scores are kept between rounds, and
+    staged every ``stage_every`` rounds, so an executor's loss costs those since.
     """
     spark = nodes.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,27 +34,30 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     )
     total = clean.groupBy("src").agg(F.sum("w").alias("t"))
     links = stage(clean.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-links")
-    loose = stage(nodes.join(links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("loose")), "rank-loose")
-    # both are staged, so what an executor loses of the kept copies is read again
-    links, loose = links.repartition(width, "src").persist(), loose.repartition(width, "id").persist()
-    score = loose.withColumn("score", F.lit(1.0 / n))
-    for _ in range(iterations):
-        lost = score.where("loose").agg(F.coalesce(F.sum("score"), F.lit(0.0)).alias("lost"))
+    # staged, so what an executor loses of the kept copy is read again
+    links = links.repartition(width, "src").persist()
+    score = nodes.join(links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("score"))
+    score = score.repartition(width, "id").persist()
+    kept = [score]
+    lost = score.where("loose").agg(F.coalesce(F.sum("score"), F.lit(0.0))).first()[0]
+    for k in range(1, iterations + 1):
         got = links.join(score.select(F.col("id").alias("src"), "score"), "src").groupBy(F.col("dst").alias("id")).agg(F.sum(F.col("p") * F.col("score")).alias("got"))
-        new = stage(
-            loose.join(got, "id", "left").join(F.broadcast(lost))  # one row
-            .select("id", "loose", (F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.col("lost") / F.lit(n))).alias("score")),
-            "rank-scores",
-        )
-        moved = None
-        if tolerance > 0:
-            moved = new.join(score.select("id", F.col("score").alias("old")), "id").agg(F.sum(F.abs(F.col("score") - F.col("old")))).first()[0]
+        after = F.lit((1 - damping) / n) + F.lit(damping) * (F.coalesce("got", F.lit(0.0)) + F.lit(lost / n))
+        new = score.select("id", "loose", F.col("score").alias("old")).join(got, "id", "left").select("id", "loose", after.alias("score"), F.abs(after - F.col("old")).alias("moved"))
+        new = stage(new, "rank-scores") if k % stage_every == 0 or k == iterations else new.persist()
+        moved, lost = new.agg(F.sum("moved"), F.coalesce(F.sum(F.when(F.col("loose"), F.col("score"))), F.lit(0.0))).first()
         score = new
-        if moved is not None and moved < tolerance:
+        kept.append(new)
+        if k % stage_every == 0:
+            for old in kept:
+                old.unpersist()
+            kept = []
+        if tolerance > 0 and moved < tolerance:
             break
-    links.unpersist()
-    loose.unpersist()
-    return score.select("id", "score")
+    out = score if k % stage_every == 0 or k == iterations else stage(score, "rank-scores")
+    for old in [*kept, links]:
+        old.unpersist()
+    return out.select("id", "score")
 
 
 def personalized_pagerank(edges: DataFrame, seeds: DataFrame, damping: float = 0.7, iterations: int = 20, undirected: bool = True, stage_every: int = 5) -> DataFrame:

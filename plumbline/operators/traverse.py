@@ -15,6 +15,8 @@ from plumbline.functions.names import CALL_KINDS
 from plumbline.session import stage
 
 MAX_DEPTH = 8
+#: Levels after which a walk is staged; within them the plan's equal shuffles are reused.
+STAGE_EVERY = 3
 
 
 def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5) -> DataFrame:
@@ -31,7 +33,7 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
         .groupBy(F.col(near).alias("near"), F.col(far).alias("far"))
         .agg(F.max("confidence").alias("c"), F.min("line").alias("line"), F.min("reason").alias("reason"))
     )
-    if depth > 1:
+    if depth > STAGE_EVERY:
         usable = stage(usable, "call-edges")
     level = roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("confidence")).distinct()
     levels = []
@@ -42,7 +44,7 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
             .agg(F.max(F.least("confidence", "c")).alias("confidence"), F.min("line").alias("via_line"), F.min("reason").alias("reason"))
             .select("root", F.col("far").alias("id"), F.lit(k).alias("depth"), "confidence", "via_line", "reason")
         )
-        if depth > 1:
+        if k % STAGE_EVERY == 0 and k < depth:
             level = stage(level, "call-level")
         levels.append(level)
     out = levels[0]
@@ -72,7 +74,7 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
     Only the least depth counts here, so files that were reached are not passed again.
     """
     depth = max(1, min(MAX_DEPTH, depth))
-    pairs = stage(file_imports(imports), "file-imports") if depth > 1 else file_imports(imports)
+    pairs = stage(file_imports(imports), "file-imports") if depth > STAGE_EVERY else file_imports(imports)
     reached = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
     level = reached
     for k in range(1, depth + 1):
@@ -82,7 +84,7 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
             .join(reached.select("root", "id"), ["root", "id"], "left_anti")
             .withColumn("depth", F.lit(k))
         )
-        if depth > 1:
+        if k % STAGE_EVERY == 0 and k < depth:
             level = stage(level, "file-level")
         reached = reached.unionByName(level)
     return reached.where("depth > 0")

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import CALL_KINDS, NOISE_CALLEES, is_test_path, module_key, normalise_callee, receiver_of, tail_of
 from plumbline.operators import impact, imports, lookup, overview, rank, resolve, search, structure, traverse
 from plumbline.operators.heavy_keys import heavy_keys, key_profile
 from plumbline.plans.workspace import Workspace
+from plumbline.session import stage
 from plumbline.sources.tables import load
 
 FLAGSHIP = "q05_who_calls"
@@ -171,6 +173,21 @@ def q08_blast_file(spark, d):
     return impact.outside_callers(w.view, w.edges, _called_file(w), 0.3, 60)
 
 
+def _blast(spark, d, target) -> DataFrame:
+    """Files and tests of an impact in one table: part, path, depth."""
+    w = Workspace(spark, d)
+    found = impact.blast_radius(w.view, w.files, w.imports, w.edges, target(w), 3, 0.3, 60)
+    return found.files.select(F.lit("file").alias("part"), "path", "depth").unionByName(found.tests.select(F.lit("test").alias("part"), "path", F.lit(0).alias("depth")))
+
+
+def q08_blast_file_reach(spark, d):
+    return _blast(spark, d, lambda w: w.top_file())
+
+
+def q08_blast_symbol_reach(spark, d):
+    return _blast(spark, d, lambda w: str(w.top_symbol()))
+
+
 def _called_file(w: Workspace) -> str:
     root = w.top_symbol()
     return w.view.where(F.col("id") == root).first()["path"]
@@ -193,6 +210,13 @@ def q08_blast_symbol(spark, d):
 _BLAST_SYMBOL_SQL = _walk_sql("dst_id", "src_id").replace("confidence >= 0.4", "confidence >= 0.3").replace("LIMIT 200", "LIMIT 60")
 
 
+_BLAST_FILE_REACH_SQL = _DEPENDENTS_SQL.replace("w.depth < 4", "w.depth < 3").replace("LIMIT 500", "LIMIT 60")
+_BLAST_FILE_REACH_SQL = f"""SELECT 'file' AS part, path, depth FROM ({_BLAST_FILE_REACH_SQL}) UNION ALL SELECT DISTINCT 'test', path, 0 FROM ({_BLAST_FILE_REACH_SQL}) WHERE is_test"""
+_IS_TEST = r"(regexp_matches(path, '(^|/)(test|spec|__tests__|fixtures)/') OR regexp_matches(regexp_replace(list_last(string_split(path, '/')), '\.[^.]*$', ''), '^test_|_test$|\.test$|\.spec$|_spec$'))"
+_TOUCHED = f"SELECT DISTINCT path FROM ({_BLAST_SYMBOL_SQL}) WHERE path <> (SELECT path FROM ({_sql(f'SELECT path FROM v WHERE id = {_TOP_SYMBOL}')}))"
+_BLAST_SYMBOL_REACH_SQL = f"SELECT 'file' AS part, path, 1 AS depth FROM ({_TOUCHED}) UNION ALL SELECT 'test', path, 0 FROM ({_TOUCHED}) WHERE {_IS_TEST}"
+
+
 # --- overviews ------------------------------------------------------------------------------------
 def agg_counts(spark, d):
     w = Workspace(spark, d)
@@ -293,8 +317,28 @@ def _links(w: Workspace):
     return overview.module_edges(w.files, w.imports).select(F.col("src_module").alias("src"), F.col("dst_module").alias("dst"))
 
 
+def _folder_links(w: Workspace, parts: int):
+    """Which folder imports from which, at a depth of the tree where they do so both ways."""
+    folder = F.array_join(F.slice(F.split("path", "/"), 1, parts), "/")
+    at = w.files.select("id", folder.alias("folder"))
+    pairs = w.imports.where("dst_file_id IS NOT NULL").select("file_id", "dst_file_id").distinct()
+    return (
+        pairs.join(at.selectExpr("id AS file_id", "folder AS src"), "file_id").join(at.selectExpr("id AS dst_file_id", "folder AS dst"), "dst_file_id")
+        .where("src <> dst").select("src", "dst").distinct()
+    )
+
+
 def ga3_components(spark, d):
-    return structure.strongly_connected(_links(Workspace(spark, d)))
+    return structure.strongly_connected(_folder_links(Workspace(spark, d), 2))
+
+
+def ga3_repository_components(spark, d):
+    return structure.strongly_connected(_folder_links(Workspace(spark, d), 1))
+
+
+def _folder_links_sql(parts: int) -> str:
+    folder = lambda t: f"array_to_string(string_split({t}.path, '/')[1:{parts}], '/')"
+    return f"m AS MATERIALIZED (SELECT DISTINCT {folder('a')} AS src, {folder('b')} AS dst FROM i JOIN f a ON a.id = i.file_id JOIN f b ON b.id = i.dst_file_id WHERE {folder('a')} <> {folder('b')})"
 
 
 _NAME_LINKS = "m AS MATERIALIZED (SELECT DISTINCT a.name AS src, b.name AS dst FROM calls JOIN s a ON a.id = src_id JOIN s b ON b.id = dst_id)"
@@ -304,28 +348,24 @@ _COMPONENTS = """,
     reach(a, b) AS (SELECT src, dst FROM m WHERE src <> dst UNION SELECT reach.a, m.dst FROM reach JOIN m ON m.src = reach.b WHERE m.src <> m.dst),
     c AS (SELECT x.a AS node, least(x.a, min(x.b)) AS component, count(*) AS n FROM reach x JOIN reach y ON y.a = x.b AND y.b = x.a WHERE x.a <> x.b GROUP BY x.a)
     SELECT node, component, n + 1 AS size FROM c"""
-_COMPONENTS_SQL = _sql(_COMPONENTS.replace("__LINKS__", _MODULE_LINKS), True)
-_NAME_COMPONENTS_SQL = _sql(_COMPONENTS.replace("__LINKS__", _NAME_LINKS), True)
+_COMPONENTS_SQL = _sql(_COMPONENTS.replace("__LINKS__", _folder_links_sql(2)), True)
+_REPOSITORY_COMPONENTS_SQL = _sql(_COMPONENTS.replace("__LINKS__", _folder_links_sql(1)), True)
 
 
 def _name_links(w: Workspace):
-    """Which name calls which, over all symbols of a name: a graph with cycles."""
+    """Which name calls which, over all symbols of a name."""
     named = w.symbols.select("id", "name")
     pairs = w.edges.where(F.col("kind").isin(*CALL_KINDS) & F.col("dst_id").isNotNull()).select("src_id", "dst_id").distinct()
     return pairs.join(named.selectExpr("id AS src_id", "name AS src"), "src_id").join(named.selectExpr("id AS dst_id", "name AS dst"), "dst_id").select("src", "dst").distinct()
 
 
-def ga3_name_components(spark, d):
-    return structure.strongly_connected(_name_links(Workspace(spark, d)))
-
-
 def ga4_name_layers(spark, d):
     return structure.layers(_name_links(Workspace(spark, d)))
 
 
 
 def q15_cycles(spark, d):
-    return structure.cycles(_links(Workspace(spark, d))).select("component", "size", F.array_join("members", " ").alias("members"))
+    return structure.cycles(_folder_links(Workspace(spark, d), 2)).select("component", "size", F.array_join("members", " ").alias("members"))
 
 
 _CYCLES_SQL = f"SELECT component, size, string_agg(node, ' ' ORDER BY node) AS members FROM ({_COMPONENTS_SQL}) GROUP BY component, size ORDER BY size DESC, component"
@@ -451,7 +491,7 @@ _DELTA_SQL = _sql("""
 # --- heavy keys -----------------------------------------------------------------------------------
 def p5_found(spark, d):
     found = [
-        heavy_keys(load(spark, d, table), key, "id").select(F.lit(table).alias("table_name"), F.col("key").alias("key_name"))
+        heavy_keys(load(spark, d, table), key, "id", "kind").select(F.lit(table).alias("table_name"), F.col("key").alias("key_name"))
         for table, key in (("edges", "dst_name"), ("symbols", "name"))
     ]
     return found[0].unionByName(found[1])
@@ -476,6 +516,18 @@ def _profile_sql(table: str, key: str, category: str, number: str) -> str:
         FROM a LEFT JOIN m ON a.k IS NOT DISTINCT FROM m.k LEFT JOIN q ON a.k IS NOT DISTINCT FROM q.k"""
 
 
+def agg12_resolution_report(spark, d):
+    w = Workspace(spark, d)
+    edges = stage(resolve.resolve_references(w.refs, w.symbols, w.files, w.imports), "report-edges")
+    return resolve.resolution_report(w.refs, edges)
+
+
+_REPORT_SQL = f"""
+    WITH x AS MATERIALIZED ({_RES_REFS_SQL})
+    SELECT reason, count(*) AS n FROM x GROUP BY reason
+    UNION ALL SELECT 'module-level', count(*) FROM (SELECT DISTINCT id FROM refs) WHERE id NOT IN (SELECT ref_id FROM x)"""
+
+
 def _counts_by_sql(table: str, column: str) -> str:
     return _sql(f"SELECT coalesce({column}, 'None') AS key, count(*) AS n FROM {table} GROUP BY 1 ORDER BY n DESC, key")
 
@@ -500,6 +552,8 @@ QUERIES = {
     "q07_all_dependents": q07_all_dependents,
     "q08_blast_file": q08_blast_file,
     "q08_blast_symbol": q08_blast_symbol,
+    "q08_blast_file_reach": q08_blast_file_reach,
+    "q08_blast_symbol_reach": q08_blast_symbol_reach,
     "agg1_counts": agg_counts,
     "agg2_by_kind": agg_by_kind,
     "agg2_by_lang": agg_by_lang,
@@ -515,11 +569,12 @@ QUERIES = {
     "ga1_pagerank": ga1_pagerank,
     "ga1_pagerank_converged": ga1_pagerank_converged,
     "ga3_components": ga3_components,
-    "ga3_name_components": ga3_name_components,
+    "ga3_repository_components": ga3_repository_components,
     "ga4_layers": ga4_layers,
     "ga4_name_layers": ga4_name_layers,
     "res1_imports": res_imports,
     "res6_references": res_references,
+    "agg12_resolution_report": agg12_resolution_report,
     "ext8_clean_refs": ext_clean_refs,
     "src8_path_facts": src_path_facts,
     "inc1_delta": inc_delta,
@@ -556,6 +611,8 @@ ORACLES = {
     "q07_all_dependents": _ALL_DEPENDENTS_SQL,
     "q08_blast_file": _BLAST_FILE_SQL,
     "q08_blast_symbol": _BLAST_SYMBOL_SQL,
+    "q08_blast_file_reach": _BLAST_FILE_REACH_SQL,
+    "q08_blast_symbol_reach": _BLAST_SYMBOL_REACH_SQL,
     "agg1_counts": _sql("""
         SELECT (SELECT count(*) FROM f) AS files, (SELECT count(*) FROM s) AS symbols, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM i) AS imports, (SELECT count(*) FROM r) AS refs,
             (SELECT count(dst_id) FROM e) AS resolved_edges, (SELECT count(*) FROM e WHERE reason = 'external') AS external_edges, (SELECT CAST(coalesce(sum(lines), 0) AS BIGINT) FROM f) AS lines"""),
@@ -577,11 +634,12 @@ ORACLES = {
     "q15_cycles": _CYCLES_SQL,
     "ga1_pagerank": _pagerank_sql(10),
     "ga3_components": _COMPONENTS_SQL,
-    "ga3_name_components": _NAME_COMPONENTS_SQL,
+    "ga3_repository_components": _REPOSITORY_COMPONENTS_SQL,
     "ga4_layers": _LAYERS_SQL,
     "ga4_name_layers": _NAME_LAYERS_SQL,
     "res1_imports": _RES_IMPORTS_SQL,
     "res6_references": _RES_REFS_SQL,
+    "agg12_resolution_report": _REPORT_SQL,
     "ext8_clean_refs": _CLEAN_REFS_SQL,
     "src8_path_facts": _PATH_FACTS_SQL,
     "inc1_delta": _DELTA_SQL,

@@ -12,24 +12,22 @@ def load(spark: SparkSession, folder: str, table: str) -> DataFrame:
 
 
 def distinct_by_id(df: DataFrame, *columns: str) -> DataFrame:
-    """Rows that arrive twice count once.  The copies are equal, so a distinct over the columns in use
-    does it: it combines on the map side and no key is hotter than its copies."""
-    return df.select("id", *[c for c in columns if c != "id"]).where(F.col("id").isNotNull()).distinct()
+    """Rows that arrive twice count once.
+
+    The copies are equal, so one of them stands for all, column by column: what a query doesn't use is pruned from the
+    aggregate and from the scan, only the id is hashed, and joins on the id need no further shuffle.
+    """
+    return df.select("id", *[c for c in columns if c != "id"]).where(F.col("id").isNotNull()).dropDuplicates(["id"])
 
 
 def latest_files(files: DataFrame, *columns: str) -> DataFrame:
     """The row of each file id with the latest ``indexed_at`` (ties: the greatest sha256, then the greatest rest).
 
-    A maximum over a struct combines on the map side; rows with a null id are dropped, a null
-    ``indexed_at`` is older than any other.
+    Every column is a maximum by that order, so it combines on the map side and columns that a query doesn't use are
+    pruned from the scan; rows with a null id are dropped, a null ``indexed_at`` is older than any other.  Rows that tie in all
+    but the rest are one state of a file; of their values the greatest is taken, column by column.
     """
-    rest = [c for c in columns if c not in ("id", "indexed_at", "sha256")]
-    have = set(files.columns)
-    key = [F.col("indexed_at")] + ([F.col("sha256")] if "sha256" in have else [])
-    newest = (
-        files.where(F.col("id").isNotNull())
-        .groupBy("id")
-        .agg(F.max(F.struct(*key, *[F.col(c) for c in rest])).alias("_m"))
-    )
-    return newest.select("id", *[F.col(f"_m.{c}").alias(c) for c in columns if c != "id"])
+    key = [F.col("indexed_at")] + ([F.col("sha256")] if "sha256" in files.columns else [])
+    value = lambda c: F.max(F.struct(*key, F.col(c).alias("_v")))["_v"].alias(c)
+    return files.where(F.col("id").isNotNull()).groupBy("id").agg(*[value(c) for c in columns if c != "id"]).select("id", *[c for c in columns if c != "id"])
 

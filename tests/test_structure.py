@@ -48,19 +48,20 @@ def kahn(pairs):
     return layer
 
 
-@pytest.mark.parametrize("seed", range(2))
-def test_random_graphs(spark, seed):
+@pytest.mark.parametrize("seed,one_task", [(0, 0), (1, 0), *[(k, 1000) for k in range(6)]])
+def test_random_graphs(spark, seed, one_task):
     rng = random.Random(seed)
     names = [f"n{i}" for i in range(rng.randint(3, 12))]
     pairs = [(rng.choice(names), rng.choice(names)) for _ in range(rng.randint(2, 22))]
     df = spark.createDataFrame(pairs, "src string, dst string")
-    assert {r["node"]: (r["component"], r["size"]) for r in strongly_connected(df).collect()} == components(pairs)
-    assert {r["node"]: r["layer"] for r in layers(df).collect()} == kahn(pairs)
+    assert {r["node"]: (r["component"], r["size"]) for r in strongly_connected(df, one_task).collect()} == components(pairs)
+    assert {r["node"]: r["layer"] for r in layers(df, one_task).collect()} == kahn(pairs)
 
 
-def test_cycles_are_sorted_and_loops_ignored(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_cycles_are_sorted_and_loops_ignored(spark, one_task):
     pairs = [("b", "a"), ("a", "b"), ("x", "x"), ("c", "d"), ("d", "e"), ("e", "c"), ("e", "a"), (None, "a"), ("a", None)]
-    found = cycles(spark.createDataFrame(pairs, "src string, dst string")).collect()
+    found = cycles(spark.createDataFrame(pairs, "src string, dst string"), one_task).collect()
     assert [r["members"] for r in found] == [["c", "d", "e"], ["a", "b"]]
 
 
