@@ -43,7 +43,7 @@ def parser() -> argparse.ArgumentParser:
         if confidence is not None:
             c.add_argument("--min-confidence", type=float, default=confidence)
 
-    command("index", ("root", {"nargs": "?", "default": "."}), ("--language", {"action": "append"}), ("--force", {"action": "store_true"}))
+    command("index", ("root", {"nargs": "?", "default": "."}), ("--language", {"action": "append"}), ("--force", {"action": "store_true"}), ("--jobs", {"type": int, "help": "cores of a local run"}), ("--quiet", {"action": "store_true"}))
     command("find", ("name",), ("--kind",), ("--lang",), ("--exact", {"action": "store_true"}), limit=20)
     command("search", ("query",), limit=20)
     command("show", ("selector",), ("--source", {"action": "store_true"}), ("--root", {"default": "."}), depth=1)
@@ -52,7 +52,7 @@ def parser() -> argparse.ArgumentParser:
     command("blast", ("target",), limit=60, depth=3, confidence=0.3)
     command("related", ("selector",), limit=15)
     command("file", ("path",))
-    command("arch")
+    command("arch", ("--md", {"help": "file for the Markdown, in place of the screen"}))
     command("cycles")
     command("stats", ("--json", {"action": "store_true"}))
     command("serve")
@@ -74,7 +74,7 @@ def main(argv: list[str] | None = None) -> int:
             print(f"unknown language: {', '.join(unknown)}; known: {', '.join(LANGUAGES)}", file=sys.stderr)
             return 2
     a.index = a.index or find_index(getattr(a, "root", None) or ".")
-    spark = build_session("plumbline", a.master)
+    spark = build_session("plumbline", a.master or (f"local[{a.jobs}]" if getattr(a, "jobs", None) else None))
     spark.sparkContext.setLogLevel("ERROR")
     from plumbline.service import Engine
 
@@ -83,7 +83,10 @@ def main(argv: list[str] | None = None) -> int:
         from plumbline.sources.tree import discover
 
         done = build(spark, discover(spark, a.root, a.language), a.index, a.force)
-        print(f"version {done['version']}: " + ", ".join(f"{v} {k}" for k, v in sorted(done["states"].items())))
+        if not a.quiet:
+            print(f"version {done['version']}: " + ", ".join(f"{v} {k}" for k, v in sorted(done["states"].items())))
+            for lang, states in sorted(done.get("languages", {}).items()):
+                print(f"  {lang}: " + ", ".join(f"{v} {k}" for k, v in sorted(states.items())))
         for path, error in done["failures"]:
             print(f"failed: {path}: {error}", file=sys.stderr)
         return 0
@@ -103,8 +106,17 @@ def main(argv: list[str] | None = None) -> int:
         return 1
 
 
+def warn_of_others(e, selector: str) -> None:
+    """Names on standard error the symbols that a selector could mean as well."""
+    found = e.candidates(selector, 5)
+    if len(found) > 1:
+        print(f"{selector!r} means {found[0]['qualname']}; others: " + ", ".join(r["qualname"] for r in found[1:]), file=sys.stderr)
+
+
 def show(e, a) -> int:
     c = a.command
+    if c in ("show", "callers", "calls", "related"):
+        warn_of_others(e, a.selector)
     if c == "find":
         rows = e.find_symbols(a.name, a.kind, a.lang, a.limit, a.exact)
         print(render.symbols(rows))
@@ -126,11 +138,20 @@ def show(e, a) -> int:
     elif c == "file":
         print(render.file_summary(e.file_summary(a.path)))
     elif c == "arch":
-        print(render.architecture(e.architecture(), 6000))
+        text = render.architecture(e.architecture(), 6000)
+        if a.md:
+            with open(a.md, "w", encoding="utf-8") as f:
+                f.write(text + "\n")
+        else:
+            print(text)
     elif c == "cycles":
-        found = e.cycles()
-        print("\n".join(" -> ".join(x) for x in found) or "No cycles.")
-        return 1 if found else 0
+        found = 0
+        for row in e.cycles().toLocalIterator():
+            found = 1
+            print(" -> ".join(row["members"]))
+        if not found:
+            print("No cycles.")
+        return found
     elif c == "stats":
         s = e.stats()
         print(json.dumps(s) if a.json else render.stats(s))

@@ -83,12 +83,12 @@ def indexed(d: Definition) -> Definition:
     return replace(d, signature=shorten(d.signature, SIGNATURE_LENGTH), docstring=shorten(doc, DOCSTRING_LENGTH) if doc else None, nearest=None)
 
 
-def keep_refs(refs: list[tuple]) -> list[tuple]:
-    """Each (owner, callee, kind, line) once, at most :data:`MAX_REFS` of a file, without noise callees."""
+def keep_refs(refs: list[tuple], most: int = MAX_REFS) -> list[tuple]:
+    """Each (owner, callee, kind, line) once, of the first ``most`` of a file, without noise callees."""
     from plumbline.functions.names import NOISE_CALLEES
 
     noise, seen, out = set(NOISE_CALLEES), set(), []
-    for src, dst, kind, line in refs[:MAX_REFS]:
+    for src, dst, kind, line in refs[:most]:
         if (src, dst, kind, line) in seen:
             continue
         seen.add((src, dst, kind, line))

@@ -96,4 +96,14 @@ def extract(path: str, text: str) -> Facts:
     return w.facts
 
 
-register("python", extract)
+def tolerant(path: str, text: str) -> Facts:
+    """Facts of any Python file: what the parser rejects is taken apart by a lexer, so that damage costs the lines it lies in."""
+    try:
+        return extract(path, text)
+    except (SyntaxError, ValueError, RecursionError, MemoryError):
+        from plumbline.extract import pylex
+
+        return pylex.extract(path, text)
+
+
+register("python", tolerant)

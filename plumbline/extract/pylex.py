@@ -13,7 +13,7 @@ import inspect
 import re
 from bisect import bisect_right
 
-from plumbline.extract import Definition, Facts, clean_doc, signature_of
+from plumbline.extract import Definition, Facts, clean_doc, keep_refs, signature_of
 from plumbline.extract.pyfacts import comment_above
 
 _TOKEN = re.compile(r"""(?P<comment>\#[^\n]*)|(?P<string>(?<!\w)[rRbBuUfFtT]{0,2}(?P<quote>\"{3}|'{3}|"|'))|(?P<open>[(\[{])|(?P<close>[)\]}])|(?P<cont>\\\n)|(?P<nl>\n)|(?P<stray>["'])""")
@@ -118,7 +118,7 @@ def _docstring(lines: _Lines, colon: int, width: int) -> str | None:
 
 
 def extract(path: str, text: str) -> Facts:
-    """Functions, methods and classes of any Python text; no refs and imports."""
+    """Functions, methods, classes, imports, calls and bases of any Python text."""
     text = text.removeprefix("\ufeff").replace("\r\n", "\n")
     lines = _Lines(text, False)
     if not lines.whole:
@@ -165,4 +165,41 @@ def extract(path: str, text: str) -> Facts:
     for *_, made in stack:
         if made is not None:
             made.end_line = end
+    _uses(lines, number, facts)
     return facts
+
+
+#: Words before a parenthesis that aren't called.
+_NOT_CALLED = frozenset("if elif while for in not and or is return yield await assert del lambda with as except raise from import else print exec def class match case".split())
+_CALL = re.compile(r"(?<![\w.@])((?:[^\W\d]\w*\.)*[^\W\d]\w*)[ \t]*\(")
+_BASES = re.compile(r"^[ \t]*class[ \t]+(\w+)[ \t]*\(([^()\n]*)\)", re.M)
+_IMPORT = re.compile(r"^[ \t]*import[ \t]+([\w., \t]+?)[ \t]*;?$", re.M)
+_FROM = re.compile(r"^[ \t]*from[ \t]+(\.*[\w.]*)[ \t]+import[ \t]+(?:\(([^()]*)\)|([\w, \t*]+))", re.M)
+
+
+def _uses(lines: _Lines, number, facts: Facts) -> None:
+    masked = lines.masked
+
+    def owner(line: int) -> str | None:
+        inside = [d for d in facts.symbols if d.start_line <= line <= d.end_line]
+        return max(inside, key=lambda d: d.start_line).local if inside else None
+
+    for m in _CALL.finditer(masked):
+        before = masked[: m.start()].rsplit("\n", 1)[-1].split()
+        if m.group(1).split(".")[0] not in _NOT_CALLED and (not before or before[-1] not in ("def", "class")):
+            line = number(m.start())
+            facts.refs.append((owner(line), m.group(1), "calls", line))
+    for m in _BASES.finditer(masked):
+        line = number(m.start(1))
+        for base in m.group(2).split(","):
+            base = base.strip()
+            if base and "=" not in base and "*" not in base:
+                facts.refs.append((owner(line), base, "inherits", line))
+    named = lambda part: [(x.split(" as ")[0].strip(), x.split(" as ")[-1].strip()) for x in re.sub(r"\s+", " ", part).split(",") if x.strip()]
+    for m in _IMPORT.finditer(masked):
+        for name, alias in named(m.group(1)):
+            facts.imports.append((lines.text[m.start() : m.end()].strip(), name, None, alias if alias != name else name.rsplit(".", 1)[-1], number(m.start())))
+    for m in _FROM.finditer(masked):
+        for name, alias in named(m.group(2) or m.group(3)):
+            facts.imports.append((lines.text[m.start() : m.end()].strip(), m.group(1), name, alias, number(m.start())))
+    facts.refs = keep_refs(facts.refs)

@@ -15,13 +15,22 @@ from plumbline.operators.traverse import dependent_files, neighbours
 
 @dataclass
 class Impact:
-    """target and kind (file or symbol); files: path, depth, is_test; symbols: as neighbours; tests: path."""
+    """target and kind (file or symbol); files: path, depth, is_test; symbols: as neighbours; tests: path.
+
+    ``limit`` is what cut the answer, if ``truncated``.
+    """
 
     target: str
     kind: str
     files: DataFrame
     symbols: DataFrame
     tests: DataFrame
+    limit: int = 60
+
+    @property
+    def truncated(self) -> bool:
+        """Whether files or symbols reach the limit, so that there may be more."""
+        return any(t.limit(self.limit).count() >= self.limit for t in (self.files, self.symbols))
 
 
 def outside_callers(view: DataFrame, edges: DataFrame, path: str, min_confidence: float = 0.3, limit: int = 60, first_symbols: int = 40, callers_each: int = 10) -> DataFrame:
@@ -57,11 +66,11 @@ def blast_radius(view: DataFrame, files: DataFrame, imports: DataFrame, edges: D
     hit = match_files(files, target, 1).select("path").first()
     if hit is not None:
         path = hit[0]
-        dependants = dependent_files(files, imports, path, depth, 200 if limit is None else limit)
-        return Impact(path, "file", dependants, outside_callers(view, edges, path, min_confidence, limit), dependants.where("is_test").select("path").distinct().orderBy("path"))
+        dependants = dependent_files(files, imports, path, depth, limit)
+        return Impact(path, "file", dependants, outside_callers(view, edges, path, min_confidence, limit), dependants.where("is_test").select("path").distinct().orderBy("path"), limit)
     root = resolve_selector(view, target, 1).first()
     if root is None:
         raise LookupError(target)
     symbols = neighbours(view, edges, root["id"], "callers", depth, min_confidence, limit)
     touched = symbols.where(F.col("path") != root["path"]).select("path").distinct().select("path", F.lit(1).alias("depth"), is_test_path(F.col("path")).alias("is_test")).orderBy("path")
-    return Impact(root["qualname"], "symbol", touched, symbols, touched.where("is_test").select("path"))
+    return Impact(root["qualname"], "symbol", touched, symbols, touched.where("is_test").select("path"), limit)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import time
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -122,18 +123,55 @@ class Snapshots:
 
     def commit(self, tables: dict[str, DataFrame], **meta) -> str:
         """Write a new version and make it current."""
-        version = (self.meta() or {"version": 0})["version"] + 1
+        version = self._last() + 1  # a folder that a failed run left is never written again
         target = f"{self.folder}/v{version}"
         for name in TABLES:
             tables[name].write.mode("overwrite").parquet(f"{target}/{name}.parquet")
+        self.put(version=version, schema=1, built_at=int(time.time()), **meta)
+        return target
+
+    def _last(self) -> int:
+        if not self._fs.exists(self._path(self.folder)):
+            return 0
+        names = [s.getPath().getName() for s in self._fs.listStatus(self._path(self.folder))]
+        return max((int(n[1:]) for n in names if n[:1] == "v" and n[1:].isdigit()), default=0)
+
+    def put(self, **values) -> None:
+        """Set keys of the pointer.  It is written aside and renamed over the old one, so there always is a whole one."""
         draft = self._path(f"{self.folder}/CURRENT.next")
         out = self._fs.create(draft, True)
-        out.write(bytearray(json.dumps({"version": version, "schema": 1, **meta}).encode()))
+        out.write(bytearray(json.dumps({**(self.meta() or {}), **values}).encode()))
         out.close()
-        if self._fs.exists(self._pointer()):
-            self._fs.delete(self._pointer(), False)
-        self._fs.rename(draft, self._pointer())
-        return target
+        jvm = self.spark._jvm
+        over = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
+        over[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
+        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._fs.getUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        context.rename(self._fs.makeQualified(draft), self._fs.makeQualified(self._pointer()), over)
+
+    def get(self, key: str, default=None):
+        return (self.meta() or {}).get(key, default)
+
+    def size(self) -> int:
+        """Bytes of the folder."""
+        return self._fs.getContentSummary(self._path(self.folder)).getLength()
+
+    def compact(self, rows_per_file: int = 2_000_000) -> str:
+        """Write the current version anew in files of about so many rows, with their numbers in the pointer."""
+        old = self.current()
+        tables, rows = {}, {}
+        for name in TABLES:
+            table = load(self.spark, old, name)
+            rows[name] = table.count()
+            tables[name] = table.repartition(max(1, -(-rows[name] // rows_per_file)))
+        return self.commit(tables, rows=rows)
+
+    def expire(self, keep: int = 2) -> list[int]:
+        """Delete all but the last ``keep`` versions; never the current one.  Returns those that went."""
+        current = self.get("version", 0)
+        gone = [v for v in range(1, self._last() + 1) if v <= current - keep and self._fs.exists(self._path(f"{self.folder}/v{v}"))]
+        for v in gone:
+            self._fs.delete(self._path(f"{self.folder}/v{v}"), True)
+        return gone
 
 
 def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = False, complete: bool = True, rounds: int = 30) -> dict:
@@ -145,23 +183,30 @@ def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = Fa
     """
     shots = Snapshots(spark, folder)
     files = stage(file_facts(sources), "sources")
+    unread = files.where("sha256 IS NULL").select("path")
+    files = files.where("sha256 IS NOT NULL")
     known = None if force or shots.meta() is None else shots.current()
     old = {n: load(spark, known, n) for n in TABLES} if known else None
-    before = old["files"].select("path", "sha256") if old else spark.createDataFrame([], "path string, sha256 string")
+    # what can't be read now keeps the rows it has
+    before = old["files"].select("path", "sha256").join(unread, "path", "left_anti") if old else spark.createDataFrame([], "path string, sha256 string")
     states = classify(before, files.select("path", "sha256"))
     if not complete:
         states = states.where("state <> 'removed'")
     states = stage(states, "states")
     counts = {r[0]: r[1] for r in states.groupBy("state").agg(F.count("*")).collect()}  # at most four rows
+    tally: dict[str, dict[str, int]] = {}  # a row for each language and state
+    langs = files.select("path", "lang") if not old else files.select("path", "lang").unionByName(old["files"].select("path", "lang").join(files.select("path"), "path", "left_anti"))
+    for r in states.join(langs, "path").groupBy("lang", "state").agg(F.count("*").alias("n")).collect():
+        tally.setdefault(r["lang"], {})[r["state"]] = r["n"]
     if old and not has_work(states):
-        return {"version": shots.meta()["version"], "states": counts, "failures": []}
+        return {"version": shots.meta()["version"], "states": counts, "languages": tally, "failures": []}
     fresh = files.join(states.where("state IN ('added', 'changed')"), "path", "left_semi")
     facts = stage(extract_facts(fresh), "facts")
     failed = facts.where("error IS NOT NULL").select("path", "error")
-    failures = [tuple(r) for r in failed.limit(1000).collect()]
+    failures = [tuple(r) for r in failed.toLocalIterator()]
     if old and not counts.get("changed") and not counts.get("removed") and facts.where("error IS NULL").isEmpty():
         # only files that failed before and failed again
-        return {"version": shots.meta()["version"], "states": counts, "failures": failures}
+        return {"version": shots.meta()["version"], "states": counts, "languages": tally, "failures": failures}
     tables = fact_tables(facts.where("error IS NULL"), fresh.join(failed, "path", "left_anti"))
     if old:
         gone = old["files"].join(states.where("state <> 'unchanged'"), "path", "left_semi").select(F.col("id").alias("file_id"))
@@ -174,4 +219,4 @@ def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = Fa
         }
     tables = {n: stage(t, n) for n, t in tables.items()}
     target = shots.commit(derive(tables, rounds), files=counts)
-    return {"version": int(target.rsplit("/v", 1)[1]), "states": counts, "failures": failures}
+    return {"version": int(target.rsplit("/v", 1)[1]), "states": counts, "languages": tally, "failures": failures}

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import os
 import subprocess
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -17,6 +19,7 @@ IGNORED_DIRS = (
 ).split()
 #: Suffixes of generated and bundled files.
 SKIPPED_SUFFIXES = (".min.js", ".min.mjs", ".bundle.js", "_pb2.py", "_pb2.pyi", ".pb.go", "_pb.js")
+#: Fixed value: larger files are left out unless ``max_bytes`` says otherwise.
 MAX_BYTES = 1_500_000
 
 
@@ -43,17 +46,33 @@ def indexable(files: DataFrame, languages: list[str] | None = None, max_bytes: i
 def discover(spark: SparkSession, root: str, languages: list[str] | None = None, max_bytes: int = MAX_BYTES) -> DataFrame:
     """(path, lang, length, content) of the files to index below ``root``; paths are relative to it.
 
-    The listing and the contents are read by Spark's binary file source; what git ignores is left out where ``root`` is a
-    checkout.
+    Spark lists the files, names and sizes decide which of them are indexed, and only those are opened, by the
+    executors; a file that can't be read has a null content.  What git ignores is left out where ``root`` is a checkout.
     """
     root = os.path.abspath(root)
     found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(f"file://{root}")
     prefix = f"file:{root}/"
-    rows = found.withColumn("path", F.expr(f"substring(path, {len(prefix) + 1})")).select("path", "length", "content")
+    rows = found.withColumn("path", F.expr(f"substring(path, {len(prefix) + 1})")).select("path", "length")  # no contents here
     tracked = git_files(root)
     if tracked is not None:
         rows = rows.join(spark.createDataFrame([(p,) for p in tracked] or [("",)], "path string"), "path", "left_semi")
-    return indexable(rows, languages, max_bytes).select("path", "lang", "length", "content")
+    chosen = indexable(rows, languages, max_bytes).select("path", "lang", "length")
+    return chosen.mapInArrow(_reader(root), "path string, lang string, length bigint, content binary")
+
+
+def _reader(root: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, path in enumerate(batch.column(0).to_pylist()):
+                try:
+                    with open(os.path.join(root, path), "rb") as f:
+                        content = f.read()
+                except OSError:
+                    content = None
+                one = batch.slice(k, 1)
+                yield pa.RecordBatch.from_arrays([*one.columns, pa.array([content], pa.binary())], [*one.schema.names, "content"])
+
+    return run
 
 
 def file_facts(sources: DataFrame) -> DataFrame:

@@ -91,9 +91,13 @@ def test_broken_texts_do_not_fail(lang, text):
     extractor_for(lang)("x", text)
 
 
-def test_broken_python_is_an_error():
-    with pytest.raises(SyntaxError):
-        extractor_for("python")("x.py", "def f(:")
+def test_broken_python_keeps_what_is_whole():
+    text = "import os.path as p\nfrom a.b import (c, d as e)\n\n\nclass K(Base, metaclass=M):\n    def g(self):\n        return e.run(c(1))\n\n\ndef f(:\n    x = = 1\n\n\ndef h():\n    K()\n"
+    f = extractor_for("python")("x.py", text)
+    assert {(s.local, s.kind) for s in f.symbols} >= {("K", "class"), ("K.g", "method"), ("h", "function")}
+    assert {r[:3] for r in f.refs} >= {("K.g", "e.run", "calls"), ("K.g", "c", "calls"), ("h", "K", "calls"), ("K", "Base", "inherits")}
+    assert {i[1:4] for i in f.imports} == {("os.path", None, "p"), ("a.b", "c", "c"), ("a.b", "d", "e")}
+    assert extractor_for("python")("x.py", "def f(:").symbols == []
 
 
 def test_refs_are_distinct_and_without_noise():

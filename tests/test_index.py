@@ -6,7 +6,7 @@ import pytest
 
 from plumbline import cli, render
 from plumbline.plans.index import Snapshots, build
-from plumbline.serve import answer, serve, tools
+from plumbline.serve import answer, resources, serve, tools
 from plumbline.service import Engine
 from plumbline.sources.tree import discover, indexable
 from plumbline.streaming.follow import follow
@@ -47,7 +47,7 @@ def engine(spark, indexed, tree):
 
 def test_build(indexed):
     _, done = indexed
-    assert done["states"] == {"added": 7} and [p for p, _ in done["failures"]] == ["bad.py"]
+    assert done["states"] == {"added": 7} and done["failures"] == []
 
 
 def test_edges(engine):
@@ -66,19 +66,19 @@ def test_questions(engine):
     assert [r["qualname"] for r in engine.search("runs thing")][:1] == ["app.core:Engine"]
     assert engine.search("::") == []
     hit = engine.blast_radius("app/core.py")
-    assert hit.kind == "file" and [r["path"] for r in hit.tests.collect()] == ["src/app/test_core.py"]
+    assert hit.kind == "file" and not hit.truncated and engine.blast_radius("app/core.py", limit=1).truncated and [r["path"] for r in hit.tests.collect()] == ["src/app/test_core.py"]
     assert engine.blast_radius("app.helpers:norm").kind == "symbol"
-    assert engine.cycles() == [["ring.a", "ring.b"]]
+    assert [r["members"] for r in engine.cycles().collect()] == [["ring.a", "ring.b"]]
     a = engine.architecture()
-    assert a.layers["app.helpers"] == 2 and a.counts["files"] == 6
+    assert {r["module"]: r["layer"] for r in a.rows("modules")}["app.helpers"] == 2 and a.rows("counts")[0]["files"] == 7
     assert {r["qualname"] for r in engine.related("app.core:create")[1]} >= {"app.core:Engine", "app.test_core:test_it"}
     assert engine.one("src/app/core.py:create")["qualname"] == "app.core:create"
     d = engine.symbol_detail("app.core:Engine", include_source=True)
-    assert [r["name"] for r in d.members] == ["run", "_prep"]
+    assert [r["name"] for r in d.rows("members")] == ["run", "_prep"]
     with pytest.raises(LookupError):
         engine.one("nothing-like-that")
     s = engine.file_summary("helpers.py")
-    assert [r["path"] for r in s.imported_by] == ["src/app/core.py"]
+    assert [r["path"] for r in s.rows("importers")] == ["src/app/core.py"]
     assert engine.stats()["resolution"]["external"] == 1
 
 
@@ -86,11 +86,10 @@ def test_views(engine):
     assert "ring.a -> ring.b" in render.architecture(engine.architecture())
     assert "Engine.run" in render.tree(*engine.who_calls("app.helpers:norm"), "callers")
     assert "src/app/test_core.py" in render.blast(engine.blast_radius("app/core.py"))
-    assert "norm" in render.file_summary(engine.file_summary("helpers.py")) and "files: 6" in render.stats(engine.stats())
+    assert "norm" in render.file_summary(engine.file_summary("helpers.py")) and "files: 7" in render.stats(engine.stats())
     assert "Runs the thing" in render.detail(engine.symbol_detail("app.core:Engine"))
-    b = render.Budget(5)
-    b.add_all(["x" * 30, "y"])
-    assert b.text() == "... 2 more lines left out"
+    assert render.fit(["x" * 30, "y"], 5) == "... 2 more lines left out" and render.fit(["a", "b" * 30], 1) == "a\n... 1 more lines left out"
+    assert [render.human_bytes(n) for n in (0, 999, 1500, 2_000_000)] == ["0 B", "999 B", "1.5 kB", "2.0 MB"]
 
 
 def test_tools(engine):
@@ -100,6 +99,14 @@ def test_tools(engine):
     assert "app.core:Engine.run" in say(method="tools/call", params={"name": "who_calls", "arguments": {"selector": "app.helpers:norm"}})["result"]["content"][0]["text"]
     assert say(method="tools/call", params={"name": "get_symbol", "arguments": {"selector": "zzz-none"}})["result"]["isError"]
     assert say(method="no")["error"]["code"] == -32601
+    ask = lambda **m: answer({"jsonrpc": "2.0", "id": 1, **m}, offered, resources(engine))
+    assert [r["uri"] for r in ask(method="resources/list")["result"]["resources"]] == ["plumbline://architecture", "plumbline://stats"]
+    assert "files: 7" in ask(method="resources/read", params={"uri": "plumbline://stats"})["result"]["contents"][0]["text"]
+    assert ask(method="resources/read", params={"uri": "plumbline://no"})["error"]["code"] == -32602
+    assert ask(method="prompts/list")["result"]["prompts"][0]["name"] == "orient"
+    assert "rename f" in ask(method="prompts/get", params={"name": "orient", "arguments": {"task": "rename f"}})["result"]["messages"][0]["content"]["text"]
+    limits = {t["name"]: t["inputSchema"]["properties"] for t in ask(method="tools/list")["result"]["tools"]}
+    assert limits["who_calls"]["depth"] == {"type": "integer", "minimum": 1, "maximum": 6}
     out = io.StringIO()
     serve(engine, io.StringIO('{"jsonrpc":"2.0","id":7,"method":"initialize"}\n{"jsonrpc":"2.0","method":"notifications/initialized"}\nnonsense\n'), out)
     assert [json.loads(x).get("id") for x in out.getvalue().splitlines()] == [7, None]
@@ -121,7 +128,7 @@ def test_incremental(spark, tree, tmp_path):
     first = build(spark, sources(), folder, rounds=2)
     assert first["version"] == 1
     again = build(spark, sources(), folder, rounds=2)
-    assert again["states"]["unchanged"] == 6 and again["version"] == 1
+    assert again["states"]["unchanged"] == 7 and again["version"] == 1
     before = {r["id"] for r in Engine.load(spark, folder).space.symbols.collect()}
     (tree / "src/app/helpers.py").write_text("def other(x):\n    return x\n")
     os.remove(tree / "src/ring/b.py")
@@ -166,3 +173,27 @@ def test_the_index_is_found_from_below(tmp_path):
 def test_no_index(spark, tmp_path):
     with pytest.raises(FileNotFoundError):
         Snapshots(spark, str(tmp_path)).current()
+
+
+def test_the_pointer_is_replaced_and_old_versions_expire(spark, indexed, tmp_path):
+    shots = Snapshots(spark, str(tmp_path / "i"))
+    source = Snapshots(spark, indexed[0]).current()
+    tables = {n: spark.read.parquet(f"{source}/{n}.parquet") for n in ("files", "symbols", "refs", "imports", "edges")}
+    shots.commit(tables)
+    os.makedirs(tmp_path / "i" / "v7")  # what a failed run left
+    shots.commit(tables, note="x")
+    assert shots.get("version") == 8 and shots.get("note") == "x" and shots.get("built_at") > 0 and shots.get("no", 1) == 1
+    shots.put(note="y")
+    assert shots.get("note") == "y" and shots.get("version") == 8
+    shots.compact()
+    assert shots.get("version") == 9 and shots.get("rows")["files"] == 7 and shots.size() > 0
+    assert shots.expire(keep=1) == [1, 7, 8] and Engine.load(spark, str(tmp_path / "i")).find_symbols("Engine")
+
+
+def test_unreadable_files_keep_their_rows(spark, tmp_path):
+    src = spark.createDataFrame([("a.py", "python", b"def f(): pass\n"), ("b.py", "python", b"def g(): pass\n")], "path string, lang string, content binary")
+    folder = str(tmp_path / "i")
+    assert build(spark, src, folder, rounds=1)["languages"] == {"python": {"added": 2}}
+    gone = src.selectExpr("path", "lang", "if(path = 'a.py', null, content) AS content")
+    assert build(spark, gone, folder, rounds=1)["states"] == {"unchanged": 1}
+    assert {r["name"] for r in Engine.load(spark, folder).space.symbols.collect()} == {"f", "g"}
