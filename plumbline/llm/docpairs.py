@@ -27,7 +27,10 @@ FILLER = frozenset(
     perform performs execute executes executed run runs call calls called invoke invokes handle handles process processes
     return returns returned returning result results value values output outputs param params parameter parameters arg args argument arguments
     description docstring docs documentation doc comment summary name named object instance type specified provided passed input2 self cls
-    todo fixme none null2 nil2 void na tbd xxx hack wip""".split()
+    todo fixme none null2 nil2 void na tbd xxx hack wip come comes coming soon later pending constructor destructor getter setter accessor mutator ctor stub
+    der die das den dem des ein eine einer einem einen und ist sind wird werden noch offen hier später folgt konstruktor methode funktion klasse
+    le la les un une des du est sont sera ici et constructeur méthode fonction classe bientôt
+    el los las una es son será aquí y constructor método función clase pronto""".split()
 )
 _PLACEHOLDER = re.compile(
     r"""^\W*(?:to-?do|fix-?me|xxx+|hack|wip)\b | ^\W*(?:n/?a|none|nothing|null|nil|empty|tbd|tba|tbc|foo|bar|test|\.\.\.|…)\W*$
@@ -35,6 +38,8 @@ _PLACEHOLDER = re.compile(
     | \b(?:method|function)\s+stub\b
     | \b(?:add|insert|put|write|provide|enter|fill\s+in|need|needs|missing|no)\s+(?:a\s+|an\s+|the\s+|some\s+|your\s+|more\s+|proper\s+)?(?:short\s+|brief\s+)?(?:description|docstring|documentation|docs?|comment|summary)\b
     | \b(?:description|documentation|docs?|docstring|comment|summary)\s+(?:goes\s+here|here|missing|pending|needed|to\s+follow|follows|to\s+be\s+\w+|will\s+follow|tbd|todo)\b
+    | \b(?:no|missing|empty)\s+doc[-\s]?strings?\b | \bdoc[-\s]?strings?\s+(?:is\s+)?(?:missing|pending|empty|todo|tbd)\b
+    | \b(?:where|here)\s+(?:is\s+where\s+)?the\s+magic\s+(?:happens|is|lives)\b | \bdoes\s+(?:its|the|some)\s+(?:thing|magic|job|work|stuff)\b | \bmore\s+(?:details?\s+|docs?\s+)?(?:to\s+)?(?:come|follow)\b
     | \b(?:undocumented|not\s+(?:yet\s+)?documented)\b | \bdocument\s+(?:this|me|it)\b
     | \b(?:will|to|should|must)\s+be\s+(?:documented|described|written|filled|added|explained)\b
     | \bwrite\s+(?:the|some|a)?\s*(?:documentation|docs?|description)\b | \bdocstring\s+for\b
@@ -55,7 +60,7 @@ _TOOL = re.compile(
 _POINTER = re.compile(
     r"""^\W*(?:inherited|inherits|inheritdoc|overridden|overrides|as\s+above|same\s+as\s+above|ditto|ibid)\b[\s\w]{0,30}\W*$
     | ^\W*\{?@inherit-?doc\b | ^\W*(?:inherits?|overrides?|same\s+as|copied\s+from|implements)\s+\S+\W*$
-    | ^\W*(?:please\s+)?(?:see|cf|refer\s+to|siehe|vgl|v[ée]ase|voir|look\s+at|have\s+a\s+look\s+at)\b\s*(?:also\s+)?(?:\W|(?:the|a|an|our|its|base|parent|super|abstract|class|classes|interface|method|function|module|file|docs?|documentation|manual|wiki|readme|spec|tests?|issue|ticket|bug|pr|rfc|section|above|below|there|here|elsewhere|for|more|further|details?|information|info|reference|in|on|at|of|and|to|(?-i:\w*[A-Z_./:\#(]\S*))(?=\W|$))*\W*$
+    | ^\W*(?:please\s+)?(?:see|cf|refer\s+to|siehe|vgl|v[ée]ase|voir|consulter|ver|vedi|veja|look\s+at|have\s+a\s+look\s+at)\b\s*(?:also\s+)?(?:\W|(?:the|a|an|our|its|le|la|les|das|die|der|dem|el|los|il|manuel|handbuch|oben|unten|ci-dessus|arriba|base|parent|super|abstract|class|classes|interface|method|function|module|file|docs?|documentation|manual|wiki|readme|spec|tests?|issue|ticket|bug|pr|rfc|section|above|below|there|here|elsewhere|for|more|further|details?|information|info|reference|in|on|at|of|and|to|(?-i:\w*[A-Z_./:\#(]\S*))(?=\W|$))*\W*$
     | ^\W*https?://\S+\W*$""",
     re.X | _I,
 )
@@ -147,7 +152,7 @@ def _told(word: str, names: set[str]) -> bool:
 _HINTS = frozenset(
     """todo to fixme fix xxx hack wip blah lorem stub auto autogenerated generated description docstring documentation doc docs document documented
     undocumented comment summary says said say suggests implies states explanatory fehlt folgt kommt noch hacer pendiente falta sin faire fazer fare
-    described written filled added explained na none nothing null nil empty tbd tba tbc foo bar test""".split()
+    described written filled added explained magic thing job work stuff string strings come follow na none nothing null nil empty tbd tba tbc foo bar test""".split()
 )
 _LOWER = re.compile(r"[a-z]+")
 
@@ -268,10 +273,11 @@ def code_pairs(symbols: DataFrame, documents: DataFrame) -> DataFrame:
     """
     texts = documents.where(F.col("file_id").isNotNull() & F.col("text").isNotNull()).groupBy("file_id").agg(F.max("text").alias("text"))
     found = documented_symbols(symbols).where("start_line >= 1 AND end_line >= start_line")
-    lines = F.slice(F.split("text", "\r?\n"), F.col("start_line"), F.col("end_line") - F.col("start_line") + 1)
+    # split before the join: once for each text, not once for each of its symbols
+    split = texts.select("file_id", F.split("text", "\r?\n").alias("lines"))
     return (
-        found.join(texts, "file_id")
-        .withColumn("code", F.array_join(lines, "\n"))
+        found.join(split, "file_id")
+        .withColumn("code", F.array_join(F.slice("lines", F.col("start_line"), F.col("end_line") - F.col("start_line") + 1), "\n"))
         .where("code <> ''")
         .select("symbol_id", "file_id", "kind", "signature", "docstring", "code")
     )

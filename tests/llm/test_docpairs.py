@@ -5,10 +5,12 @@ from plumbline.llm.docpairs import code_pairs, documented_symbols, informative_i
 SAYS = [
     "Never returns null.", "Rounds half to even.", "O(n log n) in rows.", "Not reentrant!", "Idempotent; a second close is safe.", "/** Thread-safe. */", "# Blocks until the lock frees.", "// Leaves the cursor untouched.",
     "Der Lauf sortiert danach die Zeilen.", "读取并返回缓存。", "TODO: drop this some day.\nRaises on empty input.", "@returns the row, or nothing once it is closed", "See how locks work in the shared module, where 12 rows share one cell.",
-    "Please flush it first, as readers poll it 19 times a day.", ":param x: bytes to skip before the footer", "Deprecated. Use the pool.", '"""Sizes are in pages.\n\n@param parse_row\n"""',
+    "Please flush it first, as readers poll it 19 times a day.", ":param x: bytes to skip before the footer", "Constructor; keeps the lock until the first read.", "Der Aufruf blockiert, bis die Sperre frei ist.", "Ne renvoie jamais null.", "Devuelve nulo si la fila falta.", "Later rows win.", "The string is never empty.",
+    "Deprecated. Use the pool.", '"""Sizes are in pages.\n\n@param parse_row\n"""',
 ]
 EMPTY = [
     None, "", " \n ", "/** */", "-----", "?", "...", "TODO", "TODO: document this", "FIXME", "xxx", "tbd", "N/A", "none", "Parse the row.", "parseRow", "parse row", "Parses a row", "@param row\n@returns", ":param row:\n:return:", "@param row the row\n@returns the result",
+    "To come.", "Doc string missing", "Noch offen.", "Voir le manuel.", "Constructor.", "This is where the magic happens.", "Coming soon", "More to come.", "Getter for row.", "Siehe das Handbuch.", "Does its thing.", "Pending.",
     "Description.", "description goes here", "Add a description here please", "Missing documentation.", "Beschreibung folgt", "Hier fehlt noch ein Text.", "por hacer", "待补充", "See base class.", "@see other_thing", "{@inheritDoc}", "Inherited.",
     "@author Jane Doe", "2023-06-19 initial version", "Copyright the row authors. All rights reserved.", "noqa: D401", "pylint: disable=too-many-arguments", "eslint-disable-next-line no-unused-vars", "type: ignore", "go:noinline", "vim: set ts=4 sw=4 et:", "-*- coding: utf-8 -*-",
     "if row > 30: store(row)", "return 926", "tracer.emit(row, 9)\nreturn 4", "------ row helpers ------", "#region helpers", "Auto-generated method stub", "Performs the operation and returns the result.", "This function will parse row.", "Docstring for parseRow.",
