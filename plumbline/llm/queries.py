@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from plumbline.llm.docpairs import code_pairs, informative_ids, lexed_pairs
 from plumbline.llm.mixing import mix_sources
+from plumbline.llm.paragraphs import near_paragraphs
 from plumbline.llm.provenance import THIRD_PARTY_DIRS, not_hand_written, third_party_paths, vendored_containment
 from plumbline.llm.spans import shared_portion, shared_spans
 from plumbline.llm.syntax import invalid_files, invalid_rates
@@ -78,6 +79,10 @@ def p8_portion(spark, d):
     return shared_portion(docs, shared_spans(docs))
 
 
+def p8_paragraphs(spark, d):
+    return near_paragraphs(load(spark, d, "documents"))
+
+
 QUERIES = {
     "p1_found": p1_found,
     "p1_reasons": p1_reasons,
@@ -93,6 +98,7 @@ QUERIES = {
     "p7_shares": p7_shares,
     "p8_found": p8_found,
     "p8_portion": p8_portion,
+    "p8_paragraphs": p8_paragraphs,
 }
 
 ORACLES = {
