@@ -19,7 +19,7 @@ def find_symbols(view: DataFrame, name: str, kind: str | None = None, lang: str
     """Symbols by name or qualname, exact ones first, then qualname suffixes, then other hits; then by rank.
 
     Ties go to the shorter qualname, then its order, then the smaller id.  Matching beyond equality is
-    case-insensitive with live wildcards.
+    case-insensitive with live wildcards.  Rows of ``view`` that arrive twice count once, after the filter.
     """
     name_, qual = F.col("name"), F.col("qualname")
     hit = (name_ == name) | (qual == name)
@@ -31,7 +31,7 @@ def find_symbols(view: DataFrame, name: str, kind: str | None = None, lang: str
     if lang is not None:
         rows = rows.where(F.col("lang") == lang)
     tier = F.when((name_ == name) | (qual == name), 0).when(like(qual, "%" + name), 1).otherwise(2)
-    return rows.withColumn("tier", tier).orderBy("tier", F.desc("rank"), F.length("qualname"), "qualname", "id").limit(limit)
+    return rows.dropDuplicates(["id"]).withColumn("tier", tier).orderBy("tier", F.desc("rank"), F.length("qualname"), "qualname", "id").limit(limit)
 
 
 def resolve_selector(view: DataFrame, selector: str, limit: int = 5) -> DataFrame:

@@ -2,15 +2,42 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.session import stage
 
 FLOOR = 1.0e-6
+#: Nodes and edges together up to which a graph is ranked in one task: some tens of megabytes.  The same scores come out beyond it.
+ONE_TASK = 1_000_000
+
+
+def _in_one_task(rows: DataFrame, rounds) -> DataFrame:
+    """(id, score) by ``rounds(src, dst, p, n)`` over places 0..n-1; only for a number of rows that was checked.
+
+    ``rows``: src, dst, p; a row without dst is a node, with its p as its first score.
+    """
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(list(batches), schema)
+        src, p = table.column("src").to_numpy(), table.column("p").to_numpy()
+        dst = table.column("dst").fill_null(0).to_numpy()
+        link = table.column("dst").is_valid().to_numpy()
+        ids, first = src[~link], p[~link]
+        order = np.argsort(ids)
+        ids, first = ids[order], first[order]
+        score = rounds(np.searchsorted(ids, src[link]), np.searchsorted(ids, dst[link]), p[link], first)
+        yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(score)], ["id", "score"])
 
-def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7, stage_every: int = 5) -> DataFrame:
+    schema = pa.schema([("src", pa.int64()), ("dst", pa.int64()), ("p", pa.float64())])
+    return rows.selectExpr("CAST(src AS BIGINT) AS src", "CAST(dst AS BIGINT) AS dst", "CAST(p AS DOUBLE) AS p").coalesce(1).mapInArrow(run, "id bigint, score double")
+
+
+def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iterations: int = 30, tolerance: float = 1.0e-7, stage_every: int = 5, one_task: int = ONE_TASK) -> DataFrame:
     """(id, score) of every node of ``nodes(id)``; ``edges`` has src, dst, weight.
 
     Loops and edges from or to other nodes don't count, parallel edges add up, weights have a floor (null
@@ -19,7 +46,8 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
 
     Links are kept partitioned by source and scores by id, so a round shuffles one row per node and partition, the
     partial sums, and is one job: it gives the change and the mass of the loose nodes too.  Scores are kept between rounds, and
-    staged every ``stage_every`` rounds, so an executor's loss costs those since.
+    staged every ``stage_every`` rounds, so an executor's loss costs those since.  Up to ``one_task`` nodes and edges are ranked
+    in one task instead.
     """
     spark = nodes.sparkSession
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
@@ -34,6 +62,20 @@ def pagerank(edges: DataFrame, nodes: DataFrame, damping: float = 0.85, iteratio
     )
     total = clean.groupBy("src").agg(F.sum("w").alias("t"))
     links = stage(clean.join(total, "src").select("src", "dst", (F.col("w") / F.col("t")).alias("p")), "rank-links")
+    if n + links.limit(one_task + 1).count() <= one_task:
+
+        def rounds(src, dst, p, score):
+            loose = np.ones(n, bool)
+            loose[src] = False
+            for _ in range(iterations):
+                new = (1 - damping) / n + damping * (np.bincount(dst, p * score[src], n) + score[loose].sum() / n)
+                moved = np.abs(new - score).sum()
+                score = new
+                if tolerance > 0 and moved < tolerance:
+                    break
+            return score
+
+        return _in_one_task(links.unionByName(nodes.select(F.col("id").alias("src"), F.lit(None).cast("bigint").alias("dst"), F.lit(1.0 / n).alias("p"))), rounds)
     # staged, so what an executor loses of the kept copy is read again
     links = links.repartition(width, "src").persist()
     score = nodes.join(links.select(F.col("src").alias("id")).distinct().withColumn("out", F.lit(True)), "id", "left").select("id", F.col("out").isNull().alias("loose"), F.lit(1.0 / n).alias("score"))

@@ -12,44 +12,37 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import CALL_KINDS
-from plumbline.session import stage
+from plumbline.session import counted
 
 MAX_DEPTH = 8
-#: Levels after which a walk is staged; within them the plan's equal shuffles are reused.
-STAGE_EVERY = 3
 
 
 def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5) -> DataFrame:
     """(root, id, depth, confidence, via_line, reason) of the nodes within ``depth`` calls of each root.
 
-    ``edges``: src_id, dst_id, kind, line, confidence, reason.  ``roots``: a column ``root``.  Every edge
-    has to reach ``min_confidence``; unresolved ends and kinds other than calls don't count; the root itself is
-    left out.  A node that is passed again at a later level still counts there, since a longer walk may be surer.
+    ``edges``: src_id, dst_id, kind, line, confidence, reason; rows that arrive twice change nothing.  ``roots``: a column
+    ``root``.  Every edge has to reach ``min_confidence``; unresolved ends and kinds other than calls don't count; the root
+    itself is left out.  A node that is passed again at a later level still counts there, since a longer walk may be surer.
+
+    A level is counted: while it is small the edges are scanned past it, filters pushed down, and only its own rows are
+    shuffled; beyond that edges and level meet by a shuffle on the node, the edges' being the same at each level.
     """
     depth = max(1, min(MAX_DEPTH, depth))
     near, far = ("dst_id", "src_id") if direction == "callers" else ("src_id", "dst_id")
-    usable = (
-        edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("confidence") >= min_confidence) & F.col("dst_id").isNotNull())
-        .groupBy(F.col(near).alias("near"), F.col(far).alias("far"))
-        .agg(F.max("confidence").alias("c"), F.min("line").alias("line"), F.min("reason").alias("reason"))
+    usable = edges.where(F.col("kind").isin(*CALL_KINDS) & (F.col("confidence") >= min_confidence) & F.col("dst_id").isNotNull()).select(
+        F.col(near).alias("near"), F.col(far).alias("far"), F.col("confidence").alias("c"), "line", "reason"
     )
-    if depth > STAGE_EVERY:
-        usable = stage(usable, "call-edges")
     level = roots.select("root", F.col("root").alias("id"), F.lit(1.0).alias("confidence")).distinct()
-    levels = []
+    out = None
     for k in range(1, depth + 1):
-        level = (
+        step = (
             level.select("root", "id", "confidence").join(usable, F.col("id") == F.col("near"))
             .groupBy("root", "far")
             .agg(F.max(F.least("confidence", "c")).alias("confidence"), F.min("line").alias("via_line"), F.min("reason").alias("reason"))
             .select("root", F.col("far").alias("id"), F.lit(k).alias("depth"), "confidence", "via_line", "reason")
         )
-        if k % STAGE_EVERY == 0 and k < depth:
-            level = stage(level, "call-level")
-        levels.append(level)
-    out = levels[0]
-    for x in levels[1:]:
-        out = out.unionByName(x)
+        level = counted(step, "call-level") if k < depth else step
+        out = level if out is None else out.unionByName(level)
     return (
         out.where("id <> root").groupBy("root", "id")
         .agg(F.min("depth").alias("depth"), F.max("confidence").alias("confidence"), F.min("via_line").alias("via_line"), F.min("reason").alias("reason"))
@@ -59,8 +52,9 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
 def neighbours(view: DataFrame, edges: DataFrame, root: int, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5, limit: int = 50) -> DataFrame:
     """The walk from one symbol with the symbols' columns, by depth, rank, qualname and id."""
     roots = view.sparkSession.createDataFrame([(root,)], "root bigint")
-    found = walk(edges, roots, direction, depth, min_confidence).drop("root")
-    return view.join(found, "id").orderBy("depth", F.desc("rank"), "qualname", "id").limit(limit)
+    found = counted(walk(edges, roots, direction, depth, min_confidence).drop("root"), "neighbours")
+    # a semi join goes down to the scan of the symbols, below the removal of rows that arrive twice
+    return view.join(found.select("id"), "id", "left_semi").join(found, "id").orderBy("depth", F.desc("rank"), "qualname", "id").limit(limit)
 
 
 def file_imports(imports: DataFrame) -> DataFrame:
@@ -74,7 +68,7 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
     Only the least depth counts here, so files that were reached are not passed again.
     """
     depth = max(1, min(MAX_DEPTH, depth))
-    pairs = stage(file_imports(imports), "file-imports") if depth > STAGE_EVERY else file_imports(imports)
+    pairs = file_imports(imports)
     reached = roots.select("root", F.col("root").alias("id"), F.lit(0).alias("depth")).distinct()
     level = reached
     for k in range(1, depth + 1):
@@ -84,8 +78,8 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
             .join(reached.select("root", "id"), ["root", "id"], "left_anti")
             .withColumn("depth", F.lit(k))
         )
-        if k % STAGE_EVERY == 0 and k < depth:
-            level = stage(level, "file-level")
+        if k < depth:
+            level = counted(level, "file-level")
         reached = reached.unionByName(level)
     return reached.where("depth > 0")
 

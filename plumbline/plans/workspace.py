@@ -14,7 +14,7 @@ from plumbline.sources.tables import distinct_by_id, latest_files, load
 
 @dataclass
 class Workspace:
-    """Lazily read tables of a folder; only the columns that an operator uses are scanned."""
+    """Lazily read tables of a folder; the columns that a query doesn't use are pruned from the scans."""
 
     spark: SparkSession
     folder: str
@@ -45,6 +45,16 @@ class Workspace:
     def view(self) -> DataFrame:
         return symbol_view(self.symbols, self.files)
 
+    @cached_property
+    def arrivals(self) -> DataFrame:
+        """The view with rows that arrive twice still in it, for operators that filter before they remove them."""
+        return symbol_view(load(self.spark, self.folder, "symbols").where("id IS NOT NULL"), self.files)
+
+    @cached_property
+    def calls(self) -> DataFrame:
+        """The edges as they arrive, for operators that take least and greatest values only."""
+        return load(self.spark, self.folder, "edges")
+
     @cached_property
     def texts(self) -> DataFrame:
         """(file_id, text) of source documents; of several texts of a file the greatest."""

@@ -31,11 +31,11 @@ def _sql(body: str, recursive: bool = False) -> str:
 
 # --- lookup ---------------------------------------------------------------------------------------
 def q01_find_symbols(spark, d):
-    return lookup.find_symbols(Workspace(spark, d).view, "load", limit=20)
+    return lookup.find_symbols(Workspace(spark, d).arrivals, "load", limit=20)
 
 
 def q01_find_kind(spark, d):
-    return lookup.find_symbols(Workspace(spark, d).view, "Pool", kind="class", lang="python", limit=50)
+    return lookup.find_symbols(Workspace(spark, d).arrivals, "Pool", kind="class", lang="python", limit=50)
 
 
 def _find_sql(name: str, where: str, limit: int) -> str:
@@ -94,7 +94,7 @@ def src_all_sources(spark, d):
 # --- traversal ------------------------------------------------------------------------------------
 def _walk(spark, d, direction: str):
     w = Workspace(spark, d)
-    return traverse.neighbours(w.view, w.edges, w.top_symbol(), direction, 3, 0.4, 200)
+    return traverse.neighbours(w.view, w.calls, w.top_symbol(), direction, 3, 0.4, 200)
 
 
 def q05_who_calls(spark, d):
@@ -110,13 +110,13 @@ def q05_all_callers(spark, d):
     w = Workspace(spark, d)
     roots = w.symbols.where("exported AND kind = 'class'").select(F.col("id").alias("root"))
     inside = w.symbols.select("id", F.col("parent_id").alias("root")).where("root IS NOT NULL").join(roots, "root", "left_semi").select(F.col("id").alias("root"))
-    return traverse.walk(w.edges, inside, "callers", 2, 0.3)
+    return traverse.walk(w.calls, inside, "callers", 2, 0.3)
 
 
 def q05_every_caller(spark, d):
     """The callers, up to two calls away, of every symbol, all roots in one plan: a root without rows has no callers."""
     w = Workspace(spark, d)
-    return traverse.walk(w.edges, w.symbols.select(F.col("id").alias("root")), "callers", 2, 0.3)
+    return traverse.walk(w.calls, w.symbols.select(F.col("id").alias("root")), "callers", 2, 0.3)
 
 
 def _walk_sql(near: str, far: str) -> str:
@@ -176,7 +176,7 @@ def q08_blast_file(spark, d):
 def _blast(spark, d, target) -> DataFrame:
     """Files and tests of an impact in one table: part, path, depth."""
     w = Workspace(spark, d)
-    found = impact.blast_radius(w.view, w.files, w.imports, w.edges, target(w), 3, 0.3, 60)
+    found = impact.blast_radius(w.view, w.files, w.imports, w.calls, target(w), 3, 0.3, 60)
     return found.files.select(F.lit("file").alias("part"), "path", "depth").unionByName(found.tests.select(F.lit("test").alias("part"), "path", F.lit(0).alias("depth")))
 
 
@@ -204,7 +204,7 @@ _BLAST_FILE_SQL = _sql(f""",
 
 def q08_blast_symbol(spark, d):
     w = Workspace(spark, d)
-    return impact.blast_radius(w.view, w.files, w.imports, w.edges, str(w.top_symbol()), 3, 0.3, 60).symbols
+    return impact.blast_radius(w.view, w.files, w.imports, w.calls, str(w.top_symbol()), 3, 0.3, 60).symbols
 
 
 _BLAST_SYMBOL_SQL = _walk_sql("dst_id", "src_id").replace("confidence >= 0.4", "confidence >= 0.3").replace("LIMIT 200", "LIMIT 60")

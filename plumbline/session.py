@@ -6,6 +6,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def build_session(app: str = "plumbline", master: str | None = None, **conf: str) -> SparkSession:
@@ -50,6 +51,16 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows of a few numbers up to which a table is sent to every task: some megabytes.
+BROADCAST_ROWS = 100_000
+
+
+def counted(df: DataFrame, name: str = "t", most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` staged, and marked for broadcast if it was counted to have at most ``most`` rows."""
+    small = stage(df, name)
+    return F.broadcast(small) if small.limit(most + 1).count() <= most else small
+
+
 def spread(df: DataFrame) -> DataFrame:
     """``df`` over all cores if its files give fewer tasks than there are cores, else as it is.
 

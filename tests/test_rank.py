@@ -20,17 +20,19 @@ def slow_pagerank(edges, nodes, d=0.85, rounds=30):
 EDGES = [(1, 2, 0.9), (1, 2, 0.5), (2, 3, 0.4), (3, 1, 1.0), (3, 3, 9.0), (4, 3, 0.0), (3, 5, 0.7), (9, 1, 1.0)]
 
 
-def test_pagerank(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_pagerank(spark, one_task):
     nodes = [1, 2, 3, 4, 5, 6]
-    got = pagerank(spark.createDataFrame(EDGES, "src long, dst long, weight double"), spark.createDataFrame([(x,) for x in nodes], "id long"), tolerance=0.0, iterations=12)
+    got = pagerank(spark.createDataFrame(EDGES, "src long, dst long, weight double"), spark.createDataFrame([(x,) for x in nodes], "id long"), tolerance=0.0, iterations=12, one_task=one_task)
     want = slow_pagerank(EDGES, nodes, rounds=12)
     scores = {r["id"]: r["score"] for r in got.collect()}
     assert scores == pytest.approx(want) and sum(scores.values()) == pytest.approx(1.0)
 
 
-def test_tolerance_stops_near_the_limit(spark):
+@pytest.mark.parametrize("one_task", [0, 100])
+def test_tolerance_stops_near_the_limit(spark, one_task):
     nodes = [1, 2, 3]
-    got = pagerank(spark.createDataFrame(EDGES[:4], "src long, dst long, weight double"), spark.createDataFrame([(x,) for x in nodes], "id long"), tolerance=1e-2, iterations=30)
+    got = pagerank(spark.createDataFrame(EDGES[:4], "src long, dst long, weight double"), spark.createDataFrame([(x,) for x in nodes], "id long"), tolerance=1e-2, iterations=30, one_task=one_task)
     assert {r["id"]: r["score"] for r in got.collect()} == pytest.approx(slow_pagerank(EDGES[:4], nodes, rounds=60), abs=2e-2)
 
 
