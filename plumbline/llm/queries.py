@@ -101,7 +101,21 @@ QUERIES = {
     "p8_paragraphs": p8_paragraphs,
 }
 
+#: Every window of 200 code points of every text, by brute force.
+_SPANS = """
+        WITH d AS (SELECT doc_id, text, length(text) AS n FROM documents WHERE length(text) >= 200),
+            w AS (SELECT doc_id, b, md5_number(substr(text, b + 1, 200)) AS h FROM (SELECT doc_id, text, unnest(range(0, n - 199)) AS b FROM d)),
+            s AS (SELECT h FROM w GROUP BY h HAVING min(doc_id) <> max(doc_id)),
+            x AS (SELECT doc_id, b, CASE WHEN b > lag(b) OVER (PARTITION BY doc_id ORDER BY b) + 200 THEN 1 ELSE 0 END AS new FROM w SEMI JOIN s USING (h)),
+            r AS (SELECT doc_id, b, sum(new) OVER (PARTITION BY doc_id ORDER BY b) AS k FROM x),
+            spans AS (SELECT doc_id, CAST(min(b) AS INT) AS span_start, CAST(max(b) + 200 AS INT) AS span_end FROM r GROUP BY doc_id, k)"""
+
 ORACLES = {
+    "p8_found": f"{_SPANS} SELECT * FROM spans",
+    "p8_portion": f"""{_SPANS}
+        SELECT doc_id, CAST(coalesce(length(text), 0) AS BIGINT) AS n_chars, CAST(coalesce(c, 0) AS BIGINT) AS shared_chars,
+            CASE WHEN coalesce(length(text), 0) = 0 THEN 0.0 ELSE coalesce(c, 0) / length(text) END AS shared
+        FROM documents LEFT JOIN (SELECT doc_id, sum(span_end - span_start) AS c FROM spans GROUP BY doc_id) USING (doc_id)""",
     "p1_containment": f"""
         WITH f AS (SELECT id AS file_id, split_part(path, '/', 1) AS repo, coalesce(regexp_matches(lower(path), '{THIRD_PARTY_DIRS}'), false) AS marked
                 FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY indexed_at DESC, sha256 DESC) AS k FROM files) WHERE k = 1),
