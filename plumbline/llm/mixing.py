@@ -45,25 +45,28 @@ def pfair(blocks: dict[str, int]) -> list[tuple[str, int]]:
     return order
 
 
-def plan_quotas(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]]) -> list[tuple]:
+def plan_quotas(sizes: dict[str, tuple[int, int]], targets: dict[str, tuple[float, int]], total_tokens: int | None = None) -> list[tuple]:
     """Rows of the report before mixing: the quota in tokens of each listed source.
 
     ``sizes`` has (texts, tokens) of the sources present, ``targets`` (share, repetitions).  Shares count
     relative to those of the sources that have tokens; the total is the largest one for which no
-    source needs more than its repetitions.
+    source needs more than its repetitions, so that all shares are met.  With ``total_tokens`` it is that number, and a
+    source that its repetitions don't carry so far falls short; the report says by how much.
     """
     live = {s: Fraction(t) for s, (t, m) in targets.items() if t and t > 0 and m and m > 0 and sizes.get(s, (0, 0))[1] > 0}
     whole = sum(live.values())
     total = min((sizes[s][1] * targets[s][1] * whole / w for s, w in live.items()), default=Fraction(0))
+    if total_tokens is not None:
+        total = Fraction(total_tokens)
     return [
-        (s, float(t or 0), int(m or 0), *sizes.get(s, (0, 0)), math.floor(live[s] / whole * total) if s in live else 0)
+        (s, float(t or 0), int(m or 0), *sizes.get(s, (0, 0)), math.floor(min(live[s] / whole * total, sizes[s][1] * m)) if s in live else 0)
         for s, (t, m) in sorted(targets.items())
     ]
 
 
 def mix_sources(
     sized: DataFrame, targets: DataFrame, id_col: str = "doc_id", source_col: str = "source", size_col: str = "n_tokens",
-    max_slots: int = MAX_SLOTS, buckets: int | None = None,
+    max_slots: int = MAX_SLOTS, buckets: int | None = None, total_tokens: int | None = None,
 ) -> tuple[DataFrame, DataFrame]:
     """(mix, report) of ``sized`` texts and ``targets(source, target_share, max_repeats)``.
 
@@ -75,6 +78,8 @@ def mix_sources(
     twice count once (the greatest share and repetitions).  Texts of size 0 take no part.  ``sized`` should
     be staged: it is read three times.  Ids must be unique; a repeated row counts as another text.
 
+    ``total_tokens`` asks for a size (:func:`plan_quotas`); by default it is the largest that meets all shares.
+
     The order within a source is by hash of the id.  Places in it come from sums over hash buckets, so no
     source, however large, is ever sorted in one task.
     """
@@ -88,7 +93,7 @@ def mix_sources(
         F.col("_s").isin(sorted(wanted)) & (F.col("_n") > 0)
     )
     sums = {r[0]: (r[1], r[2]) for r in texts.groupBy("_s").agg(F.count("*"), F.sum("_n")).collect()}
-    plan = plan_quotas(sums, wanted)
+    plan = plan_quotas(sums, wanted, total_tokens)
     quotas = {p[0]: p[5] for p in plan}
     total = sum(quotas.values())
     block = max(1, -(-total // max(1, max_slots - len(plan)))) if total else 1

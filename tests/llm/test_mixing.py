@@ -1,3 +1,5 @@
+import pytest
+
 from plumbline.llm.mixing import mix_sources, pfair, plan_quotas
 
 TARGETS = [("a", 0.5, 1), ("b", 0.3, 3), ("c", 0.2, 4), ("none", 0.1, 2), (None, 0.2, 1), ("zero", 0.0, 3)]
@@ -42,3 +44,13 @@ def test_empty(spark):
     df = spark.createDataFrame([], "doc_id long, source string, n_tokens long")
     mix, report = mix_sources(df, spark.createDataFrame(TARGETS[:2], "source string, target_share double, max_repeats int"))
     assert mix.count() == 0 and [x["actual_share"] for x in report.collect()] == [0.0, 0.0]
+
+
+def test_a_small_source_falls_short_of_a_given_total(spark):
+    sized = spark.createDataFrame([(k, "a", 10) for k in range(100)] + [(1000 + k, "b", 10) for k in range(5)], "doc_id long, source string, n_tokens long")
+    targets = spark.createDataFrame([("a", 0.5, 2), ("b", 0.5, 2)], "source string, target_share double, max_repeats int")
+    mix, report = mix_sources(sized, targets, total_tokens=1000)
+    rows = {r["source"]: r for r in report.collect()}
+    assert (rows["a"]["mixed_tokens"], rows["b"]["mixed_tokens"]) == (500, 100) and rows["b"]["actual_share"] == pytest.approx(1 / 6)
+    assert mix.where("source = 'b'").groupBy("doc_id").count().selectExpr("max(count)").first()[0] == 2
+    assert {r["mixed_tokens"] for r in mix_sources(sized, targets)[1].collect()} == {100}
