@@ -12,7 +12,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from plumbline.functions.names import CONTAINER_KINDS, TYPE_KINDS, local_qualname, receiver_of, tail_of
-from plumbline.session import stage
+from plumbline.session import counted, stage
 
 #: Confidence of each reason.
 CONFIDENCE = {"same-file": 0.95, "import": 0.9, "receiver-type": 0.85, "same-module": 0.75, "unique-global": 0.6, "name-only": 0.45}
@@ -78,11 +78,13 @@ def resolve_references(refs: DataFrame, symbols: DataFrame, files: DataFrame, im
     # --- one candidate per rule ---------------------------------------------------------------
     hits = base.where("n IS NOT NULL").withColumn("typed", F.col("kind").isin("inherits", "instantiates") & (F.col("n_type") > 0))
     g = lambda p: F.when(F.col("typed"), F.col(f"{p}.pick_type")).otherwise(F.col(f"{p}.pick"))
-    in_file = _table(syms, ["file_id", "name"], True)
-    in_container = _table(syms.where("parent IS NOT NULL"), ["file_id", "parent", "name"], False)
-    of_container = _table(syms.where("parent IS NOT NULL"), ["parent", "name"], False)
-    in_module = _table(syms, ["module", "name"], True)
+    # written once, as several rules read them, and sent to every task where they were counted to be small
+    in_file = counted(_table(syms, ["file_id", "name"], True), "resolve-in-file")
+    in_container = counted(_table(syms.where("parent IS NOT NULL"), ["file_id", "parent", "name"], False), "resolve-in-container")
+    of_container = counted(_table(syms.where("parent IS NOT NULL"), ["parent", "name"], False), "resolve-of-container")
+    in_module = counted(_table(syms, ["module", "name"], True), "resolve-in-module")
     containers = syms.where(F.col("kind").isin(*CONTAINER_KINDS)).select(F.col("name").alias("container")).distinct()
+    latest = counted(latest, "resolve-aliases")
 
     def look(df: DataFrame, table: DataFrame, on: dict[str, str], out: str, grouped: bool) -> DataFrame:
         cond = None

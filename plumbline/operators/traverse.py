@@ -17,7 +17,7 @@ from plumbline.session import counted
 MAX_DEPTH = 8
 
 
-def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5) -> DataFrame:
+def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5, tiny: bool = False) -> DataFrame:
     """(root, id, depth, confidence, via_line, reason) of the nodes within ``depth`` calls of each root.
 
     ``edges``: src_id, dst_id, kind, line, confidence, reason; rows that arrive twice change nothing.  ``roots``: a column
@@ -25,7 +25,8 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
     itself is left out.  A node that is passed again at a later level still counts there, since a longer walk may be surer.
 
     A level is counted: while it is small the edges are scanned past it, filters pushed down, and only its own rows are
-    shuffled; beyond that edges and level meet by a shuffle on the node, the edges' being the same at each level.
+    shuffled; beyond that edges and level meet by a shuffle on the node, the edges' being the same at each level.  ``tiny``
+    levels, of one root, are tried without files.
     """
     depth = max(1, min(MAX_DEPTH, depth))
     near, far = ("dst_id", "src_id") if direction == "callers" else ("src_id", "dst_id")
@@ -41,7 +42,7 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
             .agg(F.max(F.least("confidence", "c")).alias("confidence"), F.min("line").alias("via_line"), F.min("reason").alias("reason"))
             .select("root", F.col("far").alias("id"), F.lit(k).alias("depth"), "confidence", "via_line", "reason")
         )
-        level = counted(step, "call-level") if k < depth else step
+        level = counted(step, "call-level", tiny=tiny) if k < depth else step
         out = level if out is None else out.unionByName(level)
     return (
         out.where("id <> root").groupBy("root", "id")
@@ -52,7 +53,7 @@ def walk(edges: DataFrame, roots: DataFrame, direction: str = "callers", depth:
 def neighbours(view: DataFrame, edges: DataFrame, root: int, direction: str = "callers", depth: int = 2, min_confidence: float = 0.5, limit: int = 50) -> DataFrame:
     """The walk from one symbol with the symbols' columns, by depth, rank, qualname and id."""
     roots = view.sparkSession.createDataFrame([(root,)], "root bigint")
-    found = counted(walk(edges, roots, direction, depth, min_confidence).drop("root"), "neighbours")
+    found = counted(walk(edges, roots, direction, depth, min_confidence, tiny=True).drop("root"), "neighbours", tiny=True)
     # a semi join goes down to the scan of the symbols, below the removal of rows that arrive twice
     return view.join(found.select("id"), "id", "left_semi").join(found, "id").orderBy("depth", F.desc("rank"), "qualname", "id").limit(limit)
 
@@ -62,7 +63,7 @@ def file_imports(imports: DataFrame) -> DataFrame:
     return imports.where("dst_file_id IS NOT NULL").select(F.col("file_id").alias("src_file"), F.col("dst_file_id").alias("dst_file")).distinct()
 
 
-def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFrame:
+def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3, tiny: bool = False) -> DataFrame:
     """(root, id, depth): the files that import each root file, directly or through others.
 
     Only the least depth counts here, so files that were reached are not passed again.
@@ -79,7 +80,7 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
             .withColumn("depth", F.lit(k))
         )
         if k < depth:
-            level = counted(level, "file-level")
+            level = counted(level, "file-level", tiny=tiny)
         reached = reached.unionByName(level)
     return reached.where("depth > 0")
 
@@ -87,5 +88,5 @@ def dependents(imports: DataFrame, roots: DataFrame, depth: int = 3) -> DataFram
 def dependent_files(files: DataFrame, imports: DataFrame, path: str, depth: int = 3, limit: int = 200) -> DataFrame:
     """(path, depth, is_test) of the transitive importers of a file, tests first within a depth."""
     roots = files.where(F.col("path") == path).select(F.col("id").alias("root"))
-    found = dependents(imports, roots, depth).select("id", "depth")
+    found = counted(dependents(imports, counted(roots, "file-roots", tiny=True), depth, tiny=True).select("id", "depth"), "file-found", tiny=True)
     return files.join(found, "id").where(F.col("path") != path).select("path", "depth", "is_test").orderBy("depth", F.desc("is_test"), "path").limit(limit)

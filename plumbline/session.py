@@ -55,8 +55,19 @@ def stage(df: DataFrame, name: str = "t") -> DataFrame:
 BROADCAST_ROWS = 100_000
 
 
-def counted(df: DataFrame, name: str = "t", most: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` staged, and marked for broadcast if it was counted to have at most ``most`` rows."""
+#: Rows up to which a table that is expected to be tiny goes through the driver instead of a file.
+DRIVER_ROWS = 2_000
+
+
+def counted(df: DataFrame, name: str = "t", most: int = BROADCAST_ROWS, tiny: bool = False) -> DataFrame:
+    """``df`` staged, and marked for broadcast if it was counted to have at most ``most`` rows.
+
+    ``tiny`` tries the driver first: a table of at most :data:`DRIVER_ROWS` rows becomes part of the plan, without files.
+    """
+    if tiny:
+        rows = df.limit(DRIVER_ROWS + 1).collect()
+        if len(rows) <= DRIVER_ROWS:
+            return F.broadcast(df.sparkSession.createDataFrame(rows, df.schema))
     small = stage(df, name)
     return F.broadcast(small) if small.limit(most + 1).count() <= most else small
 
