@@ -81,12 +81,7 @@ def flt_members(spark, d):
 
 
 def src_symbol_source(spark, d):
-    w = Workspace(spark, d)
-    return lookup.symbol_source(w.symbols.where("kind = 'const'"), w.texts)
-
-
-def src_all_sources(spark, d):
-    """The source of every symbol; :func:`src_symbol_source` is the part of it that its SQL covers."""
+    """The source of every symbol."""
     w = Workspace(spark, d)
     return lookup.symbol_source(w.symbols, w.texts)
 
@@ -106,14 +101,6 @@ def q06_what_it_calls(spark, d):
 
 
 def q05_all_callers(spark, d):
-    """The callers, up to two calls away, of the members of exported classes; :func:`q05_every_caller` has all roots."""
-    w = Workspace(spark, d)
-    roots = w.symbols.where("exported AND kind = 'class'").select(F.col("id").alias("root"))
-    inside = w.symbols.select("id", F.col("parent_id").alias("root")).where("root IS NOT NULL").join(roots, "root", "left_semi").select(F.col("id").alias("root"))
-    return traverse.walk(w.calls, inside, "callers", 2, 0.3)
-
-
-def q05_every_caller(spark, d):
     """The callers, up to two calls away, of every symbol, all roots in one plan: a root without rows has no callers."""
     w = Workspace(spark, d)
     return traverse.walk(w.calls, w.symbols.select(F.col("id").alias("root")), "callers", 2, 0.3)
@@ -130,13 +117,6 @@ def _walk_sql(near: str, far: str) -> str:
 
 
 _ALL_CALLERS_SQL = _sql(""",
-    u AS (SELECT * FROM calls WHERE confidence >= 0.3),
-    roots AS (SELECT c.id FROM s c JOIN s p ON c.parent_id = p.id WHERE p.exported AND p.kind = 'class'),
-    w AS (SELECT dst_id AS root, src_id AS id, 1 AS depth, confidence AS c, line, reason FROM u WHERE dst_id IN (SELECT id FROM roots)
-          UNION ALL SELECT a.dst_id, b.src_id, 2, least(a.confidence, b.confidence), b.line, b.reason FROM u a JOIN u b ON b.dst_id = a.src_id WHERE a.dst_id IN (SELECT id FROM roots))
-    SELECT root, id, min(depth) AS depth, max(c) AS confidence, min(line) AS via_line, min(reason) AS reason FROM w WHERE id <> root GROUP BY root, id""")
-
-_EVERY_CALLER_SQL = _sql(""",
     u AS (SELECT * FROM calls WHERE confidence >= 0.3),
     w AS (SELECT dst_id AS root, src_id AS id, 1 AS depth, confidence AS c, line, reason FROM u
           UNION ALL SELECT a.dst_id, b.src_id, 2, least(a.confidence, b.confidence), b.line, b.reason FROM u a JOIN u b ON b.dst_id = a.src_id)
@@ -276,12 +256,7 @@ def _call_links(w: Workspace):
 
 
 def ga1_pagerank(spark, d):
-    w = Workspace(spark, d)
-    return rank.pagerank(_call_links(w), w.symbols.select("id"), iterations=10, tolerance=0.0).withColumn("score", F.round("score", 10))
-
-
-def ga1_pagerank_converged(spark, d):
-    """The ranks with the operator's own settings, until they no longer change; :func:`ga1_pagerank` stops where its SQL does."""
+    """The ranks with the operator's own settings: at most 30 rounds, until they no longer change by 1e-7 in all."""
     w = Workspace(spark, d)
     return rank.pagerank(_call_links(w), w.symbols.select("id")).withColumn("score", F.round("score", 10))
 
@@ -291,11 +266,14 @@ def _pagerank_sql(rounds: int) -> str:
     for k in range(1, rounds + 1):
         steps.append(f"""k{k} AS MATERIALIZED (SELECT k.id, 0.15 / (SELECT count(*) FROM n) + 0.85 * (coalesce(g.got, 0) + (SELECT coalesce(sum(score), 0) FROM k{k - 1} WHERE loose) / (SELECT count(*) FROM n)) AS score, k.loose
             FROM k{k - 1} k LEFT JOIN (SELECT dst, sum(p * score) AS got FROM p JOIN k{k - 1} ON src = id GROUP BY dst) g ON g.dst = k.id)""")
+    moved = " UNION ALL ".join(f"SELECT {k} AS k, sum(abs(a.score - b.score)) AS moved FROM k{k} a JOIN k{k - 1} b USING (id)" for k in range(1, rounds + 1))
+    steps.append(f"stop AS MATERIALIZED (SELECT coalesce(min(k) FILTER (moved < 1e-7), {rounds}) AS k FROM ({moved}))")
+    last = " UNION ALL ".join(f"SELECT id, score FROM k{k} WHERE {k} = (SELECT k FROM stop)" for k in range(1, rounds + 1))
     return _sql(f""",
         n AS MATERIALIZED (SELECT DISTINCT id FROM s),
         c AS (SELECT src_id AS src, dst_id AS dst, sum(greatest(confidence, 1e-6)) AS w FROM calls WHERE src_id <> dst_id AND src_id IN (SELECT id FROM n) AND dst_id IN (SELECT id FROM n) GROUP BY 1, 2),
         p AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS p FROM c), {', '.join(steps)}
-        SELECT id, round(score, 10) AS score FROM k{rounds}""")
+        SELECT id, round(score, 10) AS score FROM ({last})""")
 
 
 def q09_related(spark, d):
@@ -543,10 +521,8 @@ QUERIES = {
     "srt6_match_files": srt_match_files,
     "flt9_members": flt_members,
     "src11_symbol_source": src_symbol_source,
-    "src11_all_sources": src_all_sources,
     "q05_who_calls": q05_who_calls,
     "q05_all_callers": q05_all_callers,
-    "q05_every_caller": q05_every_caller,
     "q06_what_it_calls": q06_what_it_calls,
     "q07_dependent_files": q07_dependent_files,
     "q07_all_dependents": q07_all_dependents,
@@ -567,7 +543,6 @@ QUERIES = {
     "q09_related": q09_related,
     "q15_cycles": q15_cycles,
     "ga1_pagerank": ga1_pagerank,
-    "ga1_pagerank_converged": ga1_pagerank_converged,
     "ga3_components": ga3_components,
     "ga3_repository_components": ga3_repository_components,
     "ga4_layers": ga4_layers,
@@ -598,14 +573,10 @@ ORACLES = {
         SELECT o.id AS owner_id, c.id FROM s c JOIN s o ON o.file_id = c.file_id AND o.qualname = regexp_replace(c.qualname, '\.[^.:]*$', '')
         WHERE contains(list_last(string_split(c.qualname, ':')), '.')"""),
     "src11_symbol_source": _sql(""",
-        t AS (SELECT file_id, max(text) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id)
-        SELECT s.id, array_to_string(string_split(t.text, chr(10))[greatest(1, start_line):end_line], chr(10)) AS source FROM s LEFT JOIN t USING (file_id) WHERE kind = 'const'"""),
-    "src11_all_sources": _sql(""",
         t AS (SELECT file_id, max(text) AS text FROM documents WHERE file_id IS NOT NULL AND text IS NOT NULL GROUP BY file_id)
         SELECT s.id, array_to_string(string_split(t.text, chr(10))[greatest(1, start_line):end_line], chr(10)) AS source FROM s LEFT JOIN t USING (file_id)"""),
     "q05_who_calls": _walk_sql("dst_id", "src_id"),
     "q05_all_callers": _ALL_CALLERS_SQL,
-    "q05_every_caller": _EVERY_CALLER_SQL,
     "q06_what_it_calls": _walk_sql("src_id", "dst_id"),
     "q07_dependent_files": _DEPENDENTS_SQL,
     "q07_all_dependents": _ALL_DEPENDENTS_SQL,
@@ -632,7 +603,7 @@ ORACLES = {
             count(dst_id) / (count(*) - count(*) FILTER (reason = 'external')) AS internal_resolution_rate FROM e"""),
     "q09_related": _related_sql(),
     "q15_cycles": _CYCLES_SQL,
-    "ga1_pagerank": _pagerank_sql(10),
+    "ga1_pagerank": _pagerank_sql(30),
     "ga3_components": _COMPONENTS_SQL,
     "ga3_repository_components": _REPOSITORY_COMPONENTS_SQL,
     "ga4_layers": _LAYERS_SQL,

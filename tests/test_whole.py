@@ -21,7 +21,7 @@ def folder(spark, tmp_path):
 def test_source_of_every_symbol(spark, folder):
     path, symbols, texts = folder
     want = {s[0]: "\n".join(texts[s[1]].split("\n")[s[7] - 1 : s[8]]) if s[1] in texts else None for s in symbols}
-    got = QUERIES["src11_all_sources"](spark, path).collect()
+    got = QUERIES["src11_symbol_source"](spark, path).collect()
     assert {r["id"]: r["source"] for r in got} == want and len(got) == 24
 
 
@@ -36,7 +36,7 @@ def test_callers_of_every_symbol(spark, folder):
         if node != root and root < 24:
             x = want.get((root, node), (depth, sure, line, reason))
             want[root, node] = (min(x[0], depth), max(x[1], sure), min(x[2], line), min(x[3], reason))
-    got = QUERIES["q05_every_caller"](spark, path).collect()
+    got = QUERIES["q05_all_callers"](spark, path).collect()
     assert {(r["root"], r["id"]): (r["depth"], r["confidence"], r["via_line"], r["reason"]) for r in got} == want
     assert {symbols[r][5] for r, _ in want} == set(KINDS)
 
@@ -51,5 +51,5 @@ def test_pagerank_until_it_converges(spark, folder):
         r = rounds[-1]
         lost = sum(r[a] for a in r if not out[a])
         rounds.append({a: 0.15 / n + 0.85 * (sum(r[s] / out[s] for s, t in links if t == a) + lost / n) for a in range(n)})
-    got = {r["id"]: r["score"] for r in QUERIES["ga1_pagerank_converged"](spark, path).collect()}
+    got = {r["id"]: r["score"] for r in QUERIES["ga1_pagerank"](spark, path).collect()}
     assert got == pytest.approx(rounds[-1], abs=1e-9) and got != pytest.approx(rounds[10], abs=1e-6)
