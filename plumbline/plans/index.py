@@ -15,7 +15,7 @@ from plumbline.operators.imports import resolve_imports
 from plumbline.operators.rank import pagerank
 from plumbline.operators.resolve import resolve_references
 from plumbline.plans.delta import classify, has_work
-from plumbline.session import stage
+from plumbline.session import scratch, stage
 from plumbline.sources.tables import load
 from plumbline.sources.tree import file_facts
 
@@ -180,7 +180,13 @@ def build(spark: SparkSession, sources: DataFrame, folder: str, force: bool = Fa
     Only files whose hash changed are extracted; edges and ranks are derived anew if any file was, since a new symbol can
     change how any reference resolves, and left alone otherwise.  Files that fail are reported and tried again by the next run.  ``complete`` sources are the whole tree: files
     that aren't in it are removed.  ``rounds`` bounds the ranking.  Returns counts by state, and failures as (path, error).
+    What is staged on the way is deleted at the end.
     """
+    with scratch(spark):
+        return _build(spark, sources, folder, force, complete, rounds)
+
+
+def _build(spark: SparkSession, sources: DataFrame, folder: str, force: bool, complete: bool, rounds: int) -> dict:
     shots = Snapshots(spark, folder)
     files = stage(file_facts(sources), "sources")
     unread = files.where("sha256 IS NULL").select("path")

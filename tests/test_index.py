@@ -197,3 +197,14 @@ def test_unreadable_files_keep_their_rows(spark, tmp_path):
     gone = src.selectExpr("path", "lang", "if(path = 'a.py', null, content) AS content")
     assert build(spark, gone, folder, rounds=1)["states"] == {"unchanged": 1}
     assert {r["name"] for r in Engine.load(spark, folder).space.symbols.collect()} == {"f", "g"}
+
+
+def test_a_build_leaves_nothing_staged(spark, tmp_path):
+    from plumbline.session import stage_dir
+
+    staged = lambda: set(os.listdir(os.path.join(stage_dir(spark), "plumbline")))
+    src = spark.createDataFrame([("a.py", "python", "def f(): pass\n")], "path string, lang string, text string")
+    build(spark, src, str(tmp_path / "first"), rounds=1)
+    before = staged()
+    build(spark, src, str(tmp_path / "i"), rounds=1)
+    assert staged() == before and Engine.load(spark, str(tmp_path / "i")).find_symbols("f")
